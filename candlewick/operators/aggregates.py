@@ -14,7 +14,7 @@ from candlewick.functions import stop_and_reverse as sar
 from candlewick.functions.tails import KD_START, KDJ_PERIOD
 from candlewick.operators.indicators import PSAR_ROWS, add_rsv
 from candlewick.operators.windows import position
-from candlewick.plans.layout import CHUNK, HALO, SeriesLayout, with_context
+from candlewick.plans.layout import CHUNK, HALO, SeriesLayout, increments, with_context
 from candlewick.plans.scratch import shared_root
 
 _KEEP = 2 / 3  # share of the previous K or D that smoothing keeps
@@ -177,8 +177,6 @@ def series_state(bars: DataFrame, layout: SeriesLayout, rows: int = PSAR_ROWS) -
         .groupBy(layout.key)
         .agg(F.sort_array(F.collect_list(bar)).alias("tail"))
     )
-    totals = bars.groupBy(layout.key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.coalesce(_any_volume(bars), F.lit(0.0))).alias("obv"),
-    )
+    n_inc, vol_inc = increments(bars)
+    totals = bars.groupBy(layout.key).agg(F.sum(n_inc).alias("n"), F.sum(vol_inc).alias("obv"))
     return totals.join(tails, layout.key)

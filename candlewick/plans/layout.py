@@ -78,7 +78,8 @@ def with_context(bars: DataFrame, lookback: int, layout: SeriesLayout) -> DataFr
     Adds ``_halo`` (row belongs to an earlier chunk), ``_n_inc`` and
     ``_vol_inc`` (summed over ``layout.running()`` they give the position in
     the series and the volume so far) and ``_first_close`` (its first value in
-    the chunk is the first close of the series).
+    the chunk is the first close of the series).  Bars that bring increments of
+    their own stand for more than one row each, as carried stream state does.
     """
     if layout.chunk_chars is None:
         return _first_hand(bars)
@@ -88,18 +89,19 @@ def with_context(bars: DataFrame, lookback: int, layout: SeriesLayout) -> DataFr
 
 
 def _first_hand(rows: DataFrame) -> DataFrame:
+    n_inc, vol_inc = increments(rows)
+    first_close = F.col("close") if "close" in rows.columns else F.lit(None).cast("double")
     return rows.withColumns(
-        {
-            HALO: F.lit(False),
-            N_INC: F.lit(1).cast("long"),
-            VOL_INC: _volume(rows),
-            FIRST_CLOSE: F.col("close") if "close" in rows.columns else F.lit(None).cast("double"),
-        }
+        {HALO: F.lit(False), N_INC: n_inc, VOL_INC: vol_inc, FIRST_CLOSE: first_close}
     )
 
 
-def _volume(rows: DataFrame) -> Column:
-    return F.coalesce("vol", F.lit(0.0)) if "vol" in rows.columns else F.lit(0.0)
+def increments(rows: DataFrame) -> tuple[Column, Column]:
+    """How many rows and how much volume each row stands for."""
+    if N_INC in rows.columns:
+        return F.col(N_INC), F.col(VOL_INC)
+    volumes = [F.col(c) for c in ("vol", "volume") if c in rows.columns]
+    return F.lit(1).cast("long"), F.coalesce(*volumes, F.lit(0.0))
 
 
 def without_context(rows: DataFrame) -> DataFrame:
@@ -110,25 +112,28 @@ def without_context(rows: DataFrame) -> DataFrame:
 def _halo_rows(rows: DataFrame, lookback: int, layout: SeriesLayout) -> DataFrame:
     key, order = layout.key, list(layout.order)
     payload = order + [c for c in rows.columns if c not in {key, *order, *CONTEXT_COLUMNS}]
+    n_inc, vol_inc = increments(rows)
+    first_close = F.first("close" if "close" in rows.columns else F.lit(None).cast("double"))
     chunk_wide = layout.window().rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
+    to_end = layout.window().rowsBetween(Window.currentRow, Window.unboundedFollowing)
     # At most `lookback` rows per chunk survive this filter.
     tails = (
         rows.withColumns(
             {
-                "_at": F.row_number().over(layout.window()),
-                "_rows": F.count(F.lit(1)).over(chunk_wide),
-                "_vol": F.sum(_volume(rows)).over(chunk_wide),
-                "_first": F.first("close").over(chunk_wide),
+                "_to_end": F.count(F.lit(1)).over(to_end),
+                "_rows": F.sum(n_inc).over(chunk_wide),
+                "_vol": F.sum(vol_inc).over(chunk_wide),
+                "_first": first_close.over(chunk_wide),
             }
         )
-        .where(F.col("_rows") - F.col("_at") < lookback)
+        .where(F.col("_to_end") <= lookback)
         .groupBy(key, CHUNK)
         .agg(
             F.first("_rows").alias("_rows"),
             F.first("_vol").alias("_vol"),
-            F.min_by("_first", "_at").alias("_first"),
+            F.first("_first").alias("_first"),
             F.collect_list(F.struct(*payload)).alias("_tail"),
         )
     )

@@ -187,7 +187,7 @@ def stream_batch_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbox, out = new_folder(spark, "inbox"), new_folder(spark, "enriched")
-    progress = new_folder(spark, "progress")
+    state, progress = new_folder(spark, "state"), new_folder(spark, "progress")
     bars = daily(spark, sf_dir)
     for part in (
         bars.where(F.col("trade_date") <= STREAM_CUT),
@@ -195,8 +195,8 @@ def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     ):
         # The second start resumes from the checkpoint with the state of the first.
         M.write_folder(M.encode(part), inbox)
-        rows = J.enriched_stream(R.required_fields(M.decode(M.folder_stream(spark, inbox))))
-        J.append_to_folder(rows, out, progress).awaitTermination()
+        records = R.required_fields(M.decode(M.folder_stream(spark, inbox)))
+        J.start_enriched_batches(records, out, state, progress, DAILY).awaitTermination()
     return rounded(spark.read.schema(J.ENRICHED_SCHEMA).parquet(out).select(*OUT_ENRICHED))
 
 

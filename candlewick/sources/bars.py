@@ -78,7 +78,9 @@ def scan_history(bars: DataFrame, **bounds: str) -> DataFrame:
 
 def daily_bars(lineitem: DataFrame, layout: SeriesLayout = DAILY) -> DataFrame:
     """Daily bars per supplier from order lines (price = extended price)."""
-    cents = F.round(F.col("l_extendedprice") * 100)
+    # Order and line share one long; part and price in cents break ties.
+    line = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
+    cents = (F.col("l_extendedprice") * 100 + 0.5).cast("long")
     return _resample(
         lineitem,
         series=F.col("l_suppkey"),
@@ -86,8 +88,7 @@ def daily_bars(lineitem: DataFrame, layout: SeriesLayout = DAILY) -> DataFrame:
         stamp="yyyyMMdd",
         price=F.col("l_extendedprice"),
         volume=F.col("l_quantity"),
-        # Digits per part: up to 38 in all, enough for 10**13 orders.
-        order=_rank((F.col("l_orderkey"), 13), (F.col("l_linenumber"), 3), (F.col("l_partkey"), 12), (cents, 10)),
+        order=_rank((line, 16), (F.col("l_partkey"), 12), (cents, 10)),
         layout=layout,
     )
 
@@ -113,12 +114,13 @@ def _rank(*parts: tuple[Column, int]) -> Column:
     a decimal is a fixed-width buffer, so it stays a hash aggregate.  A part with
     more digits than declared fails the cast instead of sorting wrongly.
     """
-    rank, digits = F.lit(0).cast("decimal(38,0)"), 0
-    for part, width in reversed(parts):
-        scaled = part.cast(f"decimal({width},0)").cast("decimal(38,0)")
-        if digits:
-            scaled = scaled * F.lit(Decimal(10**digits))
-        rank, digits = rank + scaled, digits + width
+    rank, below = None, 0
+    for part, digits in reversed(parts):
+        digit_group = part.cast(f"decimal({digits},0)").cast("decimal(38,0)")
+        if rank is not None:
+            digit_group = digit_group * F.lit(Decimal(10**below))
+        rank = digit_group if rank is None else digit_group + rank
+        below += digits
     return rank
 
 
@@ -135,14 +137,21 @@ def _resample(
     # Grouping by the raw key and bucket keeps the shuffled keys narrow, and all
     # aggregates merge, so a hot key is reduced before the shuffle.
     bars = (
-        rows.groupBy(series.alias("_series"), bucket.alias("_bucket"))
+        rows.select(
+            series.alias("_series"),
+            bucket.alias("_bucket"),
+            price.alias("_price"),
+            volume.alias("_volume"),
+            order.alias("_order"),
+        )
+        .groupBy("_series", "_bucket")
         .agg(
-            F.min_by(price, order).alias("open"),
-            F.max(price).alias("high"),
-            F.min(price).alias("low"),
-            F.max_by(price, order).alias("close"),
-            F.sum(volume).alias("vol"),
-            F.round(F.sum(price), 2).alias("amount"),
+            F.min_by("_price", "_order").alias("open"),
+            F.max("_price").alias("high"),
+            F.min("_price").alias("low"),
+            F.max_by("_price", "_order").alias("close"),
+            F.sum("_volume").alias("vol"),
+            F.round(F.sum("_price"), 2).alias("amount"),
         )
         .select(
             F.col("_series").cast("string").alias("ts_code"),

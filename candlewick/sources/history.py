@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 
 def write_history(rows: DataFrame, folder: str, mode: str = "append") -> None:
-    """Store rows by month; inside a month files hold code ranges in date order.
+    """Store rows by month, in code and date order inside each file.
 
-    Range partitioning on (month, code, date) splits a month or code of any size
-    over several files and keeps row-group statistics on ``ts_code`` tight.
+    The rebalance splits a large month over several files and joins small ones;
+    the order keeps row-group statistics on ``ts_code`` tight.
     """
-    order = ["month", "ts_code", "trade_date"]
     (
         rows.withColumn("month", F.substring("trade_date", 1, 6))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        .hint("rebalance", "month")
+        .sortWithinPartitions("month", "ts_code", "trade_date")
         .write.mode(mode)
         .partitionBy("month")
         .parquet(folder)
@@ -31,7 +30,7 @@ def look_up(
     end_date: str | None = None,
 ) -> DataFrame:
     """Stored rows by code and inclusive date range; only the months needed are read."""
-    rows = spark.read.option("recursiveFileLookup", False).parquet(folder)
+    rows = spark.read.parquet(folder)
     month = F.col("month").cast("string")
     if ts_code:
         rows = rows.where(F.col("ts_code") == ts_code)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from candlewick.operators.aggregates import series_state
 from candlewick.operators.indicators import PSAR_ROWS
-from candlewick.operators.rows import WARMUP, indicator_rows
+from candlewick.operators.rows import WARMUP, enriched_records, indicator_rows
 from candlewick.operators.views import from_state
-from candlewick.plans.layout import SeriesLayout
+from candlewick.plans.layout import N_INC, VOL_INC, SeriesLayout, increments
 from candlewick.sources import messages as M
-from candlewick.streaming.state import ROW_SCHEMA, RecentBars
+from candlewick.sources.bars import BAR_FIELDS, BAR_SCHEMA
+from candlewick.streaming.state import ROW_SCHEMA, RecentBars, tail_column
 
 ENRICHED_SCHEMA = T.StructType(
-    [f for f in ROW_SCHEMA.fields if f.name not in {"n", "obv", "tail"}]
+    BAR_SCHEMA.fields
     + [T.StructField(c, T.DoubleType()) for c in ("k", "d", "j", "obv", "psar")]
 )
 INDICATOR_SCHEMA = T.StructType(
@@ -102,18 +104,102 @@ def start_batch_indicators(
     )
 
 
-# -- enrichment with state ------------------------------------------------------------
+# -- enrichment, state as a table -------------------------------------------------------
+
+_ARRIVAL = ("src_seq", "trade_date")
+TABLE_STATE = T.StructType(
+    [
+        T.StructField("ts_code", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("obv", T.DoubleType()),
+        T.StructField(
+            "tail",
+            T.ArrayType(
+                T.StructType(
+                    [T.StructField("trade_date", T.StringType())]
+                    + [T.StructField(c, T.DoubleType()) for c in ("high", "low", "close")]
+                )
+            ),
+        ),
+    ]
+)
+
+
+def table_state(bars: DataFrame, layout: SeriesLayout = SeriesLayout()) -> DataFrame:
+    """State of every series after the given bars, in the layout's order."""
+    fields = ("trade_date", "high", "low", "close")
+    bar = F.transform("tail", lambda b: F.struct(*(b.getField(c).alias(c) for c in fields)))
+    return series_state(bars, layout).select("ts_code", "n", "obv", bar.alias("tail"))
+
+
+def start_enriched_batches(
+    records: DataFrame,
+    folder: str,
+    state: str,
+    progress: str,
+    layout: SeriesLayout = SeriesLayout(),
+    warm: DataFrame | None = None,
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Enrich each micro-batch with the windows of the batch operators.
+
+    The last bars and totals of every series are carried from batch to batch in a
+    small table under ``state``; they enter the next batch as rows before its own.
+    All work is native and follows ``layout``, so a series that dominates a batch
+    is split.  Output and state of a batch are overwritten if it runs again, and
+    two alternating state folders keep the one it reads intact.
+    """
+    spark = records.sparkSession
+    layout = replace(layout, order=_ARRIVAL)
+
+    def carried(batch_id: int) -> DataFrame:
+        if batch_id > 0:
+            return spark.read.schema(TABLE_STATE).parquet(f"{state}/slot={(batch_id - 1) % 2}")
+        return spark.createDataFrame([], TABLE_STATE) if warm is None else warm
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        before = carried(batch_id).select("ts_code", "n", "obv", "tail", F.posexplode("tail")).select(
+            "ts_code",
+            "col.*",
+            F.lit(0).alias("src_seq"),
+            # The oldest carried bar stands for all rows before it as well.
+            F.when(F.col("pos") == 0, F.col("n") - F.size("tail") + 1)
+            .otherwise(1)
+            .alias(N_INC),
+            F.when(F.col("pos") == 0, F.col("obv")).otherwise(0.0).alias(VOL_INC),
+        )
+        # Read by three aggregations and windows below, decoded once.
+        batch = batch.persist()
+        n_inc, vol_inc = increments(batch)
+        arrived = batch.withColumns({"src_seq": F.lit(1), N_INC: n_inc, VOL_INC: vol_inc})
+        rows = before.unionByName(arrived, allowMissingColumns=True)
+        enriched = enriched_records(rows, layout).where(F.col("src_seq") == 1)
+        enriched.select(*ENRICHED_SCHEMA.fieldNames()).write.mode("overwrite").parquet(
+            f"{folder}/batch={batch_id}"
+        )
+        table_state(rows, layout.whole()).write.mode("overwrite").parquet(
+            f"{state}/slot={batch_id % 2}"
+        )
+        batch.unpersist()
+
+    pace = {"processingTime": processing_time} if processing_time else {"availableNow": True}
+    return (
+        records.withColumn("vol", F.coalesce("vol", "volume", F.lit(0.0)))
+        .select(*BAR_FIELDS)
+        .writeStream.foreachBatch(process)
+        .option("checkpointLocation", progress)
+        .trigger(**pace)
+        .start()
+    )
+
+
+# -- enrichment, state in the state store -----------------------------------------------
 
 
 def initial_state(history: DataFrame, layout: SeriesLayout = SeriesLayout()) -> DataFrame:
     """State of every series after a bounded history."""
-    bars = F.transform(
-        "tail",
-        lambda b: F.struct(*(b.getField(c).alias(c) for c in ("high", "low", "close"))),
-    )
-    return series_state(history, layout, PSAR_ROWS - 1).select(
-        layout.key, "n", "obv", bars.alias("tail")
-    )
+    recent = [F.col(f"tail.{c}").alias(f"recent_{c}") for c in ("high", "low", "close")]
+    return series_state(history, layout, PSAR_ROWS - 1).select(layout.key, "n", "obv", *recent)
 
 
 def enriched_stream(
@@ -129,11 +215,10 @@ def enriched_stream(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    fields = [f.name for f in ROW_SCHEMA.fields if f.name not in {"n", "obv", "tail"}]
     volume = F.coalesce("vol", "volume", F.lit(0.0))
     rows = (
         records.withColumn("vol", volume)
-        .select(*fields)
+        .select(*BAR_FIELDS)
         .groupBy("ts_code")
         .transformWithStateInPandas(
             statefulProcessor=RecentBars(),
@@ -143,4 +228,4 @@ def enriched_stream(
             initialState=None if warm is None else warm.groupBy("ts_code"),
         )
     )
-    return from_state(rows, warmup).select(*ENRICHED_SCHEMA.fieldNames())
+    return from_state(rows.withColumn("tail", tail_column()), warmup).select(*ENRICHED_SCHEMA.fieldNames())

@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,23 +16,20 @@ from candlewick.operators.indicators import PSAR_ROWS
 from candlewick.sources.bars import BAR_SCHEMA
 
 _PRICES = ("high", "low", "close")
-TAIL_TYPE = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in _PRICES]))
-# A bar, and the state of its series just after it.
-ROW_SCHEMA = T.StructType(
-    BAR_SCHEMA.fields
-    + [
-        T.StructField("n", T.LongType()),
-        T.StructField("obv", T.DoubleType()),
-        T.StructField("tail", TAIL_TYPE),
-    ]
-)
-_STATE_SCHEMA = T.StructType(
-    [
-        T.StructField("n", T.LongType()),
-        T.StructField("obv", T.DoubleType()),
-        *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in _PRICES],
-    ]
-)
+_RECENT = tuple(f"recent_{c}" for c in _PRICES)
+_SERIES_FIELDS = [
+    T.StructField("n", T.LongType()),
+    T.StructField("obv", T.DoubleType()),
+    *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in _RECENT],
+]
+# State of a series; and a bar with the state of its series just after it.
+STATE_SCHEMA = T.StructType(_SERIES_FIELDS)
+ROW_SCHEMA = T.StructType(BAR_SCHEMA.fields + _SERIES_FIELDS)
+
+
+def tail_column() -> Column:
+    """The recent prices as one array of bars."""
+    return F.arrays_zip(*_RECENT).cast("array<struct<high:double,low:double,close:double>>")
 
 
 class RecentBars(StatefulProcessor):
@@ -40,40 +40,32 @@ class RecentBars(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("recent", _STATE_SCHEMA)
+        self._state = handle.getValueState("recent", STATE_SCHEMA)
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
-        n, obv, past = self._load()
+        n, obv, *past = self._state.get() if self._state.exists() else (0, 0.0, [], [], [])
         bars = pd.concat(list(rows)).sort_values("trade_date", kind="stable", ignore_index=True)
-        held = len(past)
-        recent = past + list(zip(*(bars[c].tolist() for c in _PRICES)))
-        out = bars.assign(
-            ts_code=key[0],
-            n=range(n + 1, n + len(bars) + 1),
-            obv=obv + bars["vol"].cumsum(),
-            tail=[
-                [dict(zip(_PRICES, b)) for b in recent[max(0, end - PSAR_ROWS) : end]]
-                for end in range(held + 1, len(recent) + 1)
-            ],
-        )
-        kept = recent[-(PSAR_ROWS - 1) :]
-        self._state.update(
-            (n + len(bars), float(out["obv"].iloc[-1]), *map(list, zip(*kept)))
-        )
+        ends = range(len(past[0]) + 1, len(past[0]) + len(bars) + 1)
+        added: dict[str, Any] = {
+            "ts_code": key[0],
+            "n": range(n + 1, n + len(bars) + 1),
+            "obv": obv + bars["vol"].cumsum(),
+        }
+        kept = []
+        for name, price, before in zip(_RECENT, _PRICES, past):
+            known = np.concatenate([np.array(before, dtype=float), bars[price].to_numpy()])
+            added[name] = [known[max(0, end - PSAR_ROWS) : end] for end in ends]
+            kept.append(known[-(PSAR_ROWS - 1) :].tolist())
+        out = bars.assign(**added)
+        self._state.update((n + len(bars), float(out["obv"].iloc[-1]), *kept))
         yield out[ROW_SCHEMA.fieldNames()]
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
         row = initialState.iloc[0]
-        kept = [tuple(b[c] for c in _PRICES) for b in row["tail"]]
-        self._state.update((int(row["n"]), float(row["obv"]), *map(list, zip(*kept))))
+        recent = (list(row[name]) for name in _RECENT)
+        self._state.update((int(row["n"]), float(row["obv"]), *recent))
 
     def close(self) -> None:
         pass
-
-    def _load(self) -> tuple[int, float, list[tuple[float, ...]]]:
-        if not self._state.exists():
-            return 0, 0.0, []
-        n, obv, *prices = self._state.get()
-        return n, obv, list(zip(*prices))
