@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from candlewick.queries import QUERIES  # noqa: E402
 
-WARM_UP = "bar_counts"
+WARM_UP = "enriched_records"
 
 
 def main() -> None:

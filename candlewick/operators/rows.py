@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from candlewick.operators import indicators as I
@@ -16,9 +16,13 @@ REQUIRED = ("close", "high", "low")
 ENRICHED = ("k", "d", "j", "obv", "psar")
 
 
-def required_fields(records: DataFrame) -> DataFrame:
-    """Records that carry every required price."""
-    return records.where(" AND ".join(f"{name} IS NOT NULL" for name in REQUIRED))
+def required_fields(records: DataFrame, watch: Observation | str | None = None) -> DataFrame:
+    """Records that carry every required price; ``watch`` counts the others."""
+    complete = " AND ".join(f"{name} IS NOT NULL" for name in REQUIRED)
+    if watch is not None:
+        rejected = F.count_if(~F.expr(complete)).alias("n_rejected")
+        records = records.observe(watch, rejected)
+    return records.where(complete)
 
 
 def with_defaults(records: DataFrame) -> DataFrame:

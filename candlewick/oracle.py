@@ -340,6 +340,7 @@ ORACLE_SQL: dict[str, str] = {
 _SAME = {
     "stream_decode": "bars_daily",
     "stream_batch_indicators": "indicator_rows",
+    "stream_warm_start_store": "stream_warm_start",
 }
 ORACLE_SQL.update({name: ORACLE_SQL[other] for name, other in _SAME.items()})
 ORACLE_SQL["stream_enriched"] = sql(DAILY + ENRICHED, ENRICHED_FIVE)

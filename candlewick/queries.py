@@ -201,6 +201,19 @@ def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inbox, out = new_folder(spark, "inbox"), new_folder(spark, "enriched")
+    state, progress = new_folder(spark, "state"), new_folder(spark, "progress")
+    history, live = history_and_live(spark, sf_dir)
+    M.write_folder(M.encode(live), inbox)
+    records = R.required_fields(M.decode(M.folder_stream(spark, inbox)))
+    J.start_enriched_batches(
+        records, out, state, progress, DAILY, J.table_state(history, DAILY)
+    ).awaitTermination()
+    return rounded(spark.read.schema(J.ENRICHED_SCHEMA).parquet(out).select(*OUT_ENRICHED))
+
+
+def stream_warm_start_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the state of each series in Spark's state store."""
     inbox, out = new_folder(spark, "inbox"), new_folder(spark, "enriched")
     history, live = history_and_live(spark, sf_dir)
     M.write_folder(M.encode(live), inbox)
@@ -263,6 +276,7 @@ QUERIES: dict[str, Query] = {
     "stream_batch_indicators": stream_batch_indicators,
     "stream_enriched": stream_enriched,
     "stream_warm_start": stream_warm_start,
+    "stream_warm_start_store": stream_warm_start_store,
     # extensions
     "history_lookup": history_lookup,
     "kdj_hit_rate": over_daily(lambda b: R.kdj_hit_rate(b, DAILY), *PRICES),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,30 +21,29 @@ def encode(rows: DataFrame) -> DataFrame:
 
 
 def decode(
-    messages: DataFrame, schema: T.StructType = MESSAGE_SCHEMA, keep_bad: bool = False
+    messages: DataFrame,
+    schema: T.StructType = MESSAGE_SCHEMA,
+    watch: Observation | str | None = None,
 ) -> DataFrame:
     """Typed rows from JSON messages (text or bytes).
 
     NaN counts as missing.  Messages without a usable ``ts_code``, malformed ones
-    included, are dropped unless ``keep_bad``.
+    included, are dropped; ``watch`` counts them while the rows pass (a name on a
+    stream, whose progress then reports the counts).
     """
-    parsed = messages.select(F.from_json(F.col("value").cast("string"), schema).alias("data"))
-    rows = parsed.select("data.*")
+    # Generated rows keep later filters above the parser, so each message is
+    # parsed once; a plain struct column would be parsed again by every filter.
+    parsed = F.from_json(F.col("value").cast("string"), schema)
+    rows = messages.select(F.inline(F.array(parsed)))
     doubles = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
     rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
-    return rows if keep_bad else rows.where(F.col("ts_code").isNotNull())
-
-
-def message_counts(messages: DataFrame, schema: T.StructType = MESSAGE_SCHEMA) -> DataFrame:
-    """How many messages arrived, decoded, and carried every required price."""
-    rows = decode(messages, schema, keep_bad=True)
-    decoded = F.col("ts_code").isNotNull()
-    priced = decoded & F.col("close").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull()
-    return rows.agg(
-        F.count(F.lit(1)).alias("n_messages"),
-        F.count_if(decoded).alias("n_decoded"),
-        F.count_if(priced).alias("n_accepted"),
-    )
+    if watch is not None:
+        rows = rows.observe(
+            watch,
+            F.count(F.lit(1)).alias("n_messages"),
+            F.count_if(F.col("ts_code").isNull()).alias("n_unreadable"),
+        )
+    return rows.where(F.col("ts_code").isNotNull())
 
 
 def topic_stream(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fixtures import bars_of, golden_rows, near, series
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from candlewick.functions.expressions import panel_text
@@ -98,9 +99,10 @@ def test_faulty_messages_are_dropped_and_counted(spark):
         '{"ts_code":"A","trade_date":"2","close":1.0,"high":2.0}',
         '{"ts_code":"A","trade_date":"3","close":NaN,"high":2.0,"low":0.5}',
     )
-    assert R.required_fields(M.decode(arrived)).count() == 1
-    counts = M.message_counts(arrived).first()
-    assert (counts.n_messages, counts.n_decoded, counts.n_accepted) == (4, 3, 1)
+    read, kept = Observation("read"), Observation("kept")
+    assert len(R.required_fields(M.decode(arrived, watch=read), watch=kept).collect()) == 1
+    assert read.get == {"n_messages": 4, "n_unreadable": 1}
+    assert kept.get == {"n_rejected": 2}
     as_bytes = arrived.select(F.col("value").cast("binary").alias("value"))
     assert R.required_fields(M.decode(as_bytes)).count() == 1
 

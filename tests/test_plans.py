@@ -10,6 +10,7 @@ from candlewick.operators import aggregates as A
 from candlewick.operators import rows as R
 from candlewick.plans.layout import DAILY, SeriesLayout
 from candlewick.queries import daily
+from candlewick.sources import messages as M
 from candlewick.sources.bars import read_bars, scan_bars
 from candlewick.sources.history import look_up, write_history
 from conftest import SF_DIR
@@ -94,3 +95,9 @@ def test_history_lookup_reads_only_the_months_asked_for(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[.*month", text)
     assert "EqualTo(ts_code,X)" in text
     assert look_up(spark, folder).count() == 40
+
+
+def test_messages_are_parsed_once(spark, tmp_path):
+    M.write_folder(M.encode(bars_of(spark, golden_rows())), str(tmp_path / "in"))
+    rows = R.required_fields(M.decode(spark.read.text(str(tmp_path / "in"))))
+    assert plan(rows).count("from_json(") == 1
