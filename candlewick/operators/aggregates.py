@@ -59,8 +59,9 @@ def kdj_of_series(
     )
     rows = rows.where(~F.col(HALO))
     window = layout.window()
-    to_end = window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.withColumn("_age", F.count(F.lit(1)).over(to_end) - 1)
+    chunk_wide = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size = F.count(F.lit(1)).over(chunk_wide)
+    rows = rows.withColumn("_age", size - F.row_number().over(window))
     weight = F.pow(F.lit(_KEEP), F.col("_age"))
     chunks = rows.groupBy(*layout.task_keys).agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -72,12 +73,12 @@ def kdj_of_series(
     if layout.chunk_chars is None:
         chunks = chunks.withColumn("_after", F.lit(0).cast("long"))
     else:
-        later = Window.partitionBy(layout.key).orderBy(CHUNK).rowsBetween(
-            1, Window.unboundedFollowing
-        )
-        chunks = chunks.withColumn(
-            "_after", F.coalesce(F.sum("_rows").over(later), F.lit(0).cast("long"))
+        by_chunk = Window.partitionBy(layout.key).orderBy(CHUNK)
+        so_far = F.sum("_rows").over(by_chunk.rowsBetween(Window.unboundedPreceding, 0))
+        in_all = F.sum("_rows").over(
+            by_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         )
+        chunks = chunks.withColumn("_after", in_all - so_far)
     fade = F.pow(F.lit(_KEEP), F.col("_after"))
     series = chunks.groupBy(layout.key).agg(
         F.sum("_rows").alias("n_bars"),

@@ -117,18 +117,20 @@ def _halo_rows(rows: DataFrame, lookback: int, layout: SeriesLayout) -> DataFram
     chunk_wide = layout.window().rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
-    to_end = layout.window().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Frames that end at the chunk's end would be summed anew for every row, so a
+    # row's distance from the end is the chunk's size less its number.
     # At most `lookback` rows per chunk survive this filter.
     tails = (
         rows.withColumns(
             {
-                "_to_end": F.count(F.lit(1)).over(to_end),
+                "_at": F.row_number().over(layout.window()),
+                "_size": F.count(F.lit(1)).over(chunk_wide),
                 "_rows": F.sum(n_inc).over(chunk_wide),
                 "_vol": F.sum(vol_inc).over(chunk_wide),
                 "_first": first_close.over(chunk_wide),
             }
         )
-        .where(F.col("_to_end") <= lookback)
+        .where(F.col("_size") - F.col("_at") < lookback)
         .groupBy(key, CHUNK)
         .agg(
             F.first("_rows").alias("_rows"),

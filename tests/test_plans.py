@@ -101,3 +101,15 @@ def test_messages_are_parsed_once(spark, tmp_path):
     M.write_folder(M.encode(bars_of(spark, golden_rows())), str(tmp_path / "in"))
     rows = R.required_fields(M.decode(spark.read.text(str(tmp_path / "in"))))
     assert plan(rows).count("from_json(") == 1
+
+
+def test_no_frame_is_summed_anew_for_every_row(spark):
+    """A frame from the current row to the end costs quadratic time in Spark."""
+    bars = bars_of(spark, golden_rows())
+    for layout in (DAILY, SeriesLayout(chunk_chars=7)):
+        for df in (
+            R.all_indicators(bars, layout),
+            R.kdj_hit_rate(bars, layout),
+            A.kdj_of_series(bars, layout),
+        ):
+            assert not re.search(r"RowFrame, [^)]*currentrow\$\(\), unboundedfollowing", plan(df))
