@@ -5,23 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import digest_index, mixing
+from candlewick.llm import digest_index, mixing, piecewise, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.compared_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     columns = ("doc_id", "size", "source_size", "target", "taken", "source", "copies")
     return mixing.copies(docs).select(*columns, F.round("rate", 6).alias("rate"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archived(_table(spark, sf_dir, "pages"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return captures.select(*columns, "url_key", "timestamp", "range_id", "position")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def op10_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_entropy_mix, op10_digest_index)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_piecewise_hash,
+        op7_entropy_mix,
+        op8_warc_index,
+        op9_secret_scan,
+        op10_digest_index,
+    )
+}
 
 ORACLE_SQL = {"op10_digest_index": digest_index.ORACLE_SQL}

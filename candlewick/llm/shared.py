@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.plans.scratch import new_folder
+from candlewick.plans.shipping import ship_package
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +24,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """`mapInArrow` with a function of this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def in_order(df: DataFrame, order: list[str], value: Column, label: str) -> DataFrame:
     """Add `before`: the sum of `value` over all rows earlier in the given order.
 
