@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import digest_index, mixing, piecewise, secrets, warc
+from candlewick.llm import digest_index, gray_index, mixing, packing, piecewise, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op3_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.compared_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op5_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = gray_index.near_groups(_table(spark, sf_dir, "documents"))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     columns = ("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -39,7 +49,9 @@ def op10_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_curve_packing,
         op3_piecewise_hash,
+        op5_gray_simhash,
         op7_entropy_mix,
         op8_warc_index,
         op9_secret_scan,
