@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import digest_index, gray_index, mixing, packing, piecewise, secrets, warc
+from candlewick.llm import (
+    digest_index,
+    gray_index,
+    language,
+    mixing,
+    packing,
+    piecewise,
+    secrets,
+    warc,
+    weak_labels,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +26,11 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op2_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.predicted(docs, language.train(docs))
+
+
 def op3_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.compared_with_next(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +41,10 @@ def op5_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.scored(_table(spark, sf_dir, "documents"))
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     columns = ("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -50,8 +69,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_curve_packing,
+        op2_subword_language,
         op3_piecewise_hash,
         op5_gray_simhash,
+        op6_weak_quality,
         op7_entropy_mix,
         op8_warc_index,
         op9_secret_scan,
