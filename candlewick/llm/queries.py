@@ -9,6 +9,7 @@ from candlewick.llm import (
     digest_index,
     gray_index,
     language,
+    lines,
     mixing,
     packing,
     piecewise,
@@ -35,6 +36,13 @@ def op3_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.compared_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many went, and a digest of the text that is left."""
+    docs = lines.deduplicated(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return docs.select("doc_id", "n_lines", "n_removed", digest.alias("text_sha256"))
+
+
 def op5_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = gray_index.near_groups(_table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -71,6 +79,7 @@ QUERIES = {
         op1_curve_packing,
         op2_subword_language,
         op3_piecewise_hash,
+        op4_fuzzy_lines,
         op5_gray_simhash,
         op6_weak_quality,
         op7_entropy_mix,

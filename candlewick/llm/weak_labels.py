@@ -20,6 +20,8 @@ EPOCHS = 10
 RATE = 2.0
 SHRINK = 1e-5
 SEED = 11
+# Both classes weigh the same in training, so even odds would reject too many good ones.
+LEAST_SCORE = 0.3
 ROUNDS = 200
 _SYMBOLS = b"#$%&*|~^<>{}\\@"
 
@@ -37,7 +39,7 @@ def votes(text: str) -> tuple[int, ...]:
     words = text.lower().split()
     n = len(words)
     if not n:
-        return (-1,) + (0,) * (LABELLERS - 1)
+        return -1, *[0] * (LABELLERS - 1)
     data = text.encode("utf-8", "replace")
     letters = len(data) - len(data.translate(None, _SYMBOLS))
     counts = Counter(words)
@@ -47,7 +49,7 @@ def votes(text: str) -> tuple[int, ...]:
     return (
         _vote(n, 5, 20),
         _vote(letters / n, 0.2, 0.02),
-        _vote(sum(s <= 3 for s in sizes) / n, 0.12, 0.25) if n >= 20 else 0,
+        _vote(sum(len(w) <= 3 and w.isalpha() for w in words) / n, 0.12, 0.25) if n >= 20 else 0,
         _vote(again / n, 0.1, 0.02) if n >= 20 else 0,
         _vote(max(counts.values()) / n, 0.25, 0.12) if n >= 20 else 0,
         _vote(sum(map(text.count, ".!?")) / n, 0.01, 0.03) if n >= 20 else 0,
@@ -78,20 +80,18 @@ class Labels:
     """Estimated share of good documents, and how each labeller votes on either class."""
 
     prior: float
-    rates: np.ndarray  # labeller, class (bad, good), vote (bad, none, good)
+    rates: np.ndarray  # labeller, class (bad, good), vote where there is one (bad, good)
 
     def posterior(self, found: np.ndarray) -> np.ndarray:
-        """Probability of good, of vote rows."""
+        """Probability of good, of vote rows. Where a labeller does not vote it says nothing."""
         log = np.log(self.rates)
-        each = log[np.arange(LABELLERS)[:, None], :, (found + 1).T].sum(axis=0)
+        each = (found == -1) @ log[:, :, 0] + (found == 1) @ log[:, :, 1]
         each += np.log([1 - self.prior, self.prior])
         return 1 / (1 + np.exp(np.clip(each[:, 0] - each[:, 1], -500, 500)))
 
     def accuracy(self) -> np.ndarray:
         """Of each labeller, where it votes."""
-        right = self.prior * self.rates[:, 1, 2] + (1 - self.prior) * self.rates[:, 0, 0]
-        wrong = self.prior * self.rates[:, 1, 0] + (1 - self.prior) * self.rates[:, 0, 2]
-        return right / (right + wrong)
+        return self.prior * self.rates[:, 1, 1] + (1 - self.prior) * self.rates[:, 0, 0]
 
 
 def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> Labels:
@@ -107,12 +107,10 @@ def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> Lab
         weights = np.stack([(1 - good) * counts, good * counts])
         total = weights.sum()
         prior = float(np.clip(weights[1].sum() / max(total, 1), 0.01, 0.99))
-        rates = np.empty((LABELLERS, 2, 3))
-        for vote in (-1, 0, 1):
-            rates[:, :, vote + 1] = (weights @ (found == vote)).T
+        rates = np.stack([(weights @ (found == vote)).T for vote in (-1, 1)], axis=2)
         rates += 1.0 + 1e-4 * total
         rates[:, 0, 0] += 1.0
-        rates[:, 1, 2] += 1.0
+        rates[:, 1, 1] += 1.0
         rates /= rates.sum(axis=2, keepdims=True)
         labels = Labels(prior, rates)
         after = labels.posterior(found)
@@ -243,7 +241,7 @@ def scored(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """`doc_id, pattern, posterior, score, quality` of every row.
 
     `pattern` holds the votes in base three, `posterior` is what they say by themselves,
-    `score` comes from the scorer, and `quality` is 1 from a score of 0.5 on. No labels are
+    `score` comes from the scorer, and `quality` is 1 from a score of `LEAST_SCORE` on. No labels are
     read.
 
     - A null text counts as empty: one labeller votes against it, the others do not vote.
@@ -252,4 +250,4 @@ def scored(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     scorer, labels = train(docs, training_rows)
     schema = "doc_id long, pattern long, posterior double, score double"
     found = in_arrow(_rows(docs).select("doc_id", "text"), _scorer(scorer, labels), schema)
-    return found.withColumn("quality", (F.col("score") >= 0.5).cast("int"))
+    return found.withColumn("quality", (F.col("score") >= LEAST_SCORE).cast("int"))
