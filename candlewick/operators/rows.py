@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from candlewick.operators import indicators as I
@@ -55,23 +55,48 @@ def indicator_join(bars: DataFrame, layout: SeriesLayout) -> DataFrame:
 
 
 def enriched_records(
-    bars: DataFrame, layout: SeriesLayout, warmup: int = WARMUP
+    bars: DataFrame,
+    layout: SeriesLayout,
+    warmup: int = WARMUP,
+    period: int = I.KDJ_PERIOD,
+    size: int = I.PSAR_ROWS,
+    af_step: float = I.sar.AF_STEP,
+    af_max: float = I.sar.AF_MAX,
 ) -> DataFrame:
-    """Bars plus ``k, d, j, obv, psar``, null until a series has more than ``warmup`` rows."""
-    rows = with_context(bars, I.PSAR_ROWS - 1, layout)
-    rows = I.add_psar(I.add_obv(I.add_kdj(rows, layout), layout), layout)
+    """Bars plus ``k, d, j, obv, psar``, null until a series has more than ``warmup`` rows.
+
+    ``period`` is KDJ's; ``size``, ``af_step`` and ``af_max`` are the stop-and-reverse
+    level's. Chunks get as many rows of look-back as these need.
+    """
+    rows = with_context(bars, max(period, size) - 1, layout)
+    rows = I.add_obv(I.add_kdj(rows, layout, period), layout)
+    rows = I.add_psar(rows, layout, size, af_step, af_max)
     rows = rows.withColumn("_ready", position(layout) > warmup)
     rows = without_context(rows)
     return rows.withColumns({c: F.when(F.col("_ready"), F.col(c)) for c in ENRICHED}).drop("_ready")
 
 
-def all_indicators(bars: DataFrame, layout: SeriesLayout) -> DataFrame:
-    """Both indicator families in one wide row from one exchange and one sort."""
+def all_indicators(
+    bars: DataFrame,
+    layout: SeriesLayout,
+    warmup: int = WARMUP,
+    rsi_period: int = I.RSI_PERIOD,
+    acceleration: float = I.sar.AF_STEP,
+    period: int = I.KDJ_PERIOD,
+    size: int = I.PSAR_ROWS,
+    af_step: float = I.sar.AF_STEP,
+    af_max: float = I.sar.AF_MAX,
+) -> DataFrame:
+    """Both indicator families in one wide row from one exchange and one sort.
+
+    ``acceleration`` is the one-step level's; the rest as for the single operators.
+    """
     keep = bars.columns
-    rows = with_context(bars, I.RSI_PERIOD + 1, layout)
-    rows = I.add_step_psar(I.add_rsi(rows, layout), layout).withColumnRenamed("psar", "psar_step")
-    rows = I.add_psar(I.add_obv(I.add_kdj(rows, layout), layout), layout)
-    rows = without_context(rows.withColumn("_ready", position(layout) > WARMUP))
+    rows = with_context(bars, max(rsi_period + 1, period - 1, size - 1), layout)
+    rows = I.add_step_psar(I.add_rsi(rows, layout, rsi_period), layout, acceleration)
+    rows = I.add_kdj(rows.withColumnRenamed("psar", "psar_step"), layout, period)
+    rows = I.add_psar(I.add_obv(rows, layout), layout, size, af_step, af_max)
+    rows = without_context(rows.withColumn("_ready", position(layout) > warmup))
     gated = [F.when(F.col("_ready"), F.col(c)).alias(c) for c in ENRICHED]
     return rows.select(*keep, "rsi", "trend", "extreme_point", "psar_step", *gated)
 
@@ -93,15 +118,13 @@ def history_live_dedup(
 ) -> DataFrame:
     """One row per bar key, the live one where both exist.
 
-    The rank filter runs before the shuffle too, so repeats of one key shrink early.
+    Of repeats within one part the largest stays, column by column, so the winner does
+    not depend on the order of the rows. An aggregate, so repeats shrink before the shuffle.
     """
-    newest = Window.partitionBy(*key).orderBy(F.col("src_seq").desc())
-    return (
-        history_live_union(history, live)
-        .withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("_rank") == 1)
-        .drop("_rank")
-    )
+    union = history_live_union(history, live)
+    rest = ["src_seq", *(c for c in union.columns if c not in {*key, "src_seq"})]
+    newest = union.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_newest"))
+    return newest.select(*key, "_newest.*").select(*union.columns)
 
 
 # -- quality measures (own definitions) ------------------------------------------

@@ -172,6 +172,31 @@ bars AS (
   FROM joined)"""
 WARM = DAILY.replace("bars AS", "daily_bars AS") + UNION_BARS + ENRICHED
 
+# Bars in order of arrival (see `queries.arrival`), for the paced streams.
+
+
+def _arrival(cuts: tuple[str, ...]) -> str:
+    by_date = " + ".join(f"CAST(trade_date > '{cut}' AS INT)" for cut in cuts)
+    return f"{by_date} + CAST(vol % 5 = 0 AS INT)"
+
+
+PACED = DAILY.replace("bars AS", "daily_bars AS") + f""",
+bars AS (
+  SELECT * EXCLUDE (n),
+         row_number() OVER (PARTITION BY ts_code ORDER BY {_arrival(Q.PACE_CUTS)}, trade_date) AS n
+  FROM daily_bars)""" + ENRICHED
+WARM_PACED = WARM.replace(
+    "ORDER BY src_seq, trade_date",
+    f"ORDER BY src_seq, CASE WHEN src_seq = 1 THEN {_arrival(Q.WARM_PACE_CUTS)} ELSE 0 END, trade_date",
+)
+
+# Two micro-batches as series of their own.
+BATCHED = DAILY.replace("bars AS", "daily_bars AS") + f""",
+bars AS (
+  SELECT * EXCLUDE (ts_code),
+         ts_code || '#' || CAST(trade_date > '{Q.STREAM_CUT}' AS INT) AS ts_code
+  FROM daily_bars)""" + MOVES + STEP
+
 
 def sql(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{body}"
@@ -183,6 +208,16 @@ ORACLE_SQL: dict[str, str] = {
     "bars_scan": sql(
         DAILY, f"{FULL_BAR} WHERE trade_date BETWEEN '{Q.SCAN_START}' AND '{Q.SCAN_END}'"
     ),
+    "bars_scan_code": sql(
+        DAILY,
+        f"""{FULL_BAR} WHERE ts_code = '{Q.SCAN_CODE}'
+        AND trade_date BETWEEN '{Q.SCAN_START}' AND '{Q.SCAN_END}'""",
+    ),
+    "bars_on_date": sql(
+        DAILY,
+        f"""SELECT ts_code, trade_date, {r6("close", "high", "low", "vol")} FROM bars
+        WHERE trade_date = '{Q.SCAN_DAY}'""",
+    ),
     "bars_page": sql(
         DAILY,
         f"{FULL_BAR} ORDER BY ts_code, trade_date LIMIT {Q.PAGE_LIMIT} OFFSET {Q.PAGE_OFFSET}",
@@ -300,6 +335,16 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT ts_code, trade_date, {r6("k", "d", "j", "obv", "psar")}
         FROM (SELECT *, max(n) OVER (PARTITION BY ts_code) AS last FROM enriched) WHERE n = last""",
     ),
+    "latest_panel_text": sql(
+        DAILY + ENRICHED,
+        "SELECT ts_code, trade_date, "
+        + ", ".join(
+            f"""CASE WHEN round({c}, 6) <> 0 THEN printf('%.2f', round({c}, 6)) ELSE '--' END AS {c}"""
+            for c in ("k", "d", "j", "obv", "psar")
+        )
+        + """ FROM (SELECT *, max(n) OVER (PARTITION BY ts_code) AS last FROM enriched)
+        WHERE n = last""",
+    ),
     "chart_series": sql(
         DAILY + ENRICHED,
         " UNION ALL ".join(
@@ -339,10 +384,14 @@ ORACLE_SQL: dict[str, str] = {
 }
 _SAME = {
     "stream_decode": "bars_daily",
-    "stream_batch_indicators": "indicator_rows",
     "stream_warm_start_store": "stream_warm_start",
 }
 ORACLE_SQL.update({name: ORACLE_SQL[other] for name, other in _SAME.items()})
+ORACLE_SQL["stream_enriched_paced"] = sql(PACED, ENRICHED_FIVE)
+ORACLE_SQL["stream_warm_start_paced"] = sql(WARM_PACED, ENRICHED_FIVE + " WHERE src_seq = 1")
+ORACLE_SQL["stream_batch_indicators"] = sql(
+    BATCHED, INDICATOR_ROWS.replace("r.ts_code, r.trade_date", "split_part(r.ts_code, '#', 1) AS ts_code, r.trade_date")
+)
 ORACLE_SQL["stream_enriched"] = sql(DAILY + ENRICHED, ENRICHED_FIVE)
 for _name in ("enriched_records", "kdj_agg", "psar_agg"):
     ORACLE_SQL[f"{_name}_hourly"] = ORACLE_SQL[_name].replace(DAILY_RAW, HOURLY_RAW)

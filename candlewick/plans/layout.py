@@ -49,7 +49,9 @@ class SeriesLayout:
     def chunk(self) -> Column:
         date_at = self.order.index("trade_date")
         parts = [F.col(c) for c in self.order[:date_at]]
-        parts.append(F.substring("trade_date", 1, self.chunk_chars).alias("prefix"))
+        # Rows without a date come first, in a chunk of their own.
+        prefix = F.coalesce(F.substring("trade_date", 1, self.chunk_chars), F.lit(""))
+        parts.append(prefix.alias("prefix"))
         return F.struct(*parts) if len(parts) > 1 else parts[0]
 
     @property
@@ -175,16 +177,3 @@ def _halo_rows(rows: DataFrame, lookback: int, layout: SeriesLayout) -> DataFram
             F.col("_first_before").alias(FIRST_CLOSE),
         )
     )
-
-
-def fitting_layout(
-    bars: DataFrame, layout: SeriesLayout = SeriesLayout(), longest_whole: int = 200_000
-) -> SeriesLayout:
-    """``layout`` with series kept whole if the longest one is known to be short.
-
-    One counting pass over the key column decides; use it for stored tables whose
-    series length no calendar bounds.
-    """
-    counts = bars.groupBy(layout.key).count()
-    longest = counts.agg(F.max("count")).first()[0] or 0
-    return layout.whole() if longest <= longest_whole else layout

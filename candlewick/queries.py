@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from candlewick.sources import history as H
 from candlewick.sources import messages as M
 from candlewick.sources.bars import (
     BAR_FIELDS,
+    HISTORY_FIELDS,
     daily_bars,
     hourly_bars,
     scan_bars,
@@ -36,6 +37,11 @@ LAST_K = 9
 HISTORY_END, LIVE_START = "19991231", "19990701"
 # The replayed stream arrives in two parts, cut after this date.
 STREAM_CUT = "19980630"
+# The paced streams arrive in parts cut after these dates; every fifth volume is a part late.
+PACE_CUTS = ("19951231", "19981231")
+WARM_PACE_CUTS = ("20000331", "20010331")
+FILES = 2
+SCAN_CODE, SCAN_DAY = "7", "19970310"
 
 # The list-form folds run on yearly chunks, the hourly queries on ten-day ones.
 YEARLY = SeriesLayout()
@@ -45,12 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily_bars(table(spark, sf_dir, "lineitem"))
+def daily(spark: SparkSession, sf_dir: str, **bounds) -> DataFrame:
+    return daily_bars(table(spark, sf_dir, "lineitem"), **bounds)
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hourly_bars(table(spark, sf_dir, "events"))
+def hourly(spark: SparkSession, sf_dir: str, **bounds) -> DataFrame:
+    return hourly_bars(table(spark, sf_dir, "events"), **bounds)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -63,14 +69,14 @@ def over_daily(transform: Callable[[DataFrame], DataFrame], *fields: str) -> Que
     """Query that applies a transform to the named fields of the daily bars."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(transform(daily(spark, sf_dir).select(*(fields or BAR_FIELDS))))
+        return rounded(transform(daily(spark, sf_dir, fields=fields or BAR_FIELDS)))
 
     return query
 
 
 def over_hourly(transform: Callable[[DataFrame], DataFrame], *fields: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(transform(hourly(spark, sf_dir).select(*(fields or BAR_FIELDS))))
+        return rounded(transform(hourly(spark, sf_dir, fields=fields or BAR_FIELDS)))
 
     return query
 
@@ -86,10 +92,17 @@ OUT_ENRICHED = (*KEY, *R.ENRICHED)
 
 
 def bars_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A bar depends on earlier bars only, so the upper bound may go below the
-    # bar adapter, where it reaches the parquet scan.
-    lines = table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp_ntz'2001-01-01'")
-    return rounded(scan_bars(daily_bars(lines), start_date=SCAN_START, end_date=SCAN_END))
+    return rounded(daily(spark, sf_dir, start_date=SCAN_START, end_date=SCAN_END))
+
+
+def bars_scan_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = dict(ts_code=SCAN_CODE, start_date=SCAN_START, end_date=SCAN_END)
+    return rounded(daily(spark, sf_dir, **bounds))
+
+
+def bars_on_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = dict(start_date=SCAN_DAY, end_date=SCAN_DAY, fields=NARROW)
+    return rounded(scan_bars(daily(spark, sf_dir, **day), trade_date=SCAN_DAY, fields=NARROW))
 
 
 def partial_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,12 +153,16 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_and_live(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Narrow bars split into an overlapping history and live part."""
-    bars = daily(spark, sf_dir)
-    history = scan_bars(bars, end_date=HISTORY_END, fields=NARROW)
-    live = scan_bars(bars, start_date=LIVE_START, fields=NARROW)
+    history = daily(spark, sf_dir, end_date=HISTORY_END, fields=NARROW)
+    live = daily(spark, sf_dir, start_date=LIVE_START, fields=NARROW)
     return history, live
 
 
+def history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = daily(spark, sf_dir, start_date=LIVE_START, fields=HISTORY_FIELDS)
+    return rounded(scan_history(bars, start_date=LIVE_START))
+
+
 def history_live_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Both parts hold unique daily bars, so a series stays short.
     layout = SeriesLayout(order=R.UNION_ORDER, chunk_chars=None)
@@ -175,9 +192,11 @@ def stream_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_batch_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two micro-batches, each its own history."""
     inbox, out = new_folder(spark, "inbox"), new_folder(spark, "indicators")
-    M.write_folder(M.encode(daily(spark, sf_dir)), inbox)
-    bars = R.required_fields(M.decode(M.folder_stream(spark, inbox)))
+    bars = daily(spark, sf_dir)
+    stage_parts(bars, (F.col("trade_date") > STREAM_CUT).cast("int"), 2, inbox)
+    bars = R.required_fields(M.decode(M.folder_stream(spark, inbox, FILES)))
     J.start_batch_indicators(
         bars, J.folder_sink(out), new_folder(spark, "progress"), DAILY
     ).awaitTermination()
@@ -200,6 +219,43 @@ def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.schema(J.ENRICHED_SCHEMA).parquet(out).select(*OUT_ENRICHED))
 
 
+def stage_parts(bars: DataFrame, part: Column, parts: int, inbox: str) -> None:
+    """Write the messages part by part, each into `FILES` files, so that a stream of as many
+    files per batch takes one part per micro-batch."""
+    for at in range(parts):
+        M.write_folder(M.encode(bars.where(part == at).repartition(FILES)), inbox)
+
+
+def arrival(cuts: tuple[str, ...]) -> Column:
+    """The part a bar arrives in: by date, and one later for every fifth volume."""
+    by_date = sum((F.col("trade_date") > cut).cast("int") for cut in cuts)
+    return by_date + (F.pmod("vol", F.lit(5)) == 0).cast("int")
+
+
+def stream_enriched_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four micro-batches, in which a fifth of the bars comes after later bars."""
+    inbox, out = new_folder(spark, "inbox"), new_folder(spark, "enriched")
+    stage_parts(daily(spark, sf_dir, fields=NARROW), arrival(PACE_CUTS), len(PACE_CUTS) + 2, inbox)
+    records = R.required_fields(M.decode(M.folder_stream(spark, inbox, FILES)))
+    state, progress = new_folder(spark, "state"), new_folder(spark, "progress")
+    # The series are cut into yearly chunks, as a hot one would be.
+    J.start_enriched_batches(records, out, state, progress, YEARLY).awaitTermination()
+    return rounded(spark.read.schema(J.ENRICHED_SCHEMA).parquet(out).select(*OUT_ENRICHED))
+
+
+def stream_warm_start_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after an overlapping history."""
+    inbox, out = new_folder(spark, "inbox"), new_folder(spark, "enriched")
+    history, live = history_and_live(spark, sf_dir)
+    stage_parts(live, arrival(WARM_PACE_CUTS), len(WARM_PACE_CUTS) + 2, inbox)
+    records = R.required_fields(M.decode(M.folder_stream(spark, inbox, FILES)))
+    state, progress = new_folder(spark, "state"), new_folder(spark, "progress")
+    J.start_enriched_batches(
+        records, out, state, progress, DAILY, J.table_state(history, DAILY)
+    ).awaitTermination()
+    return rounded(spark.read.schema(J.ENRICHED_SCHEMA).parquet(out).select(*OUT_ENRICHED))
+
+
 def stream_warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbox, out = new_folder(spark, "inbox"), new_folder(spark, "enriched")
     state, progress = new_folder(spark, "state"), new_folder(spark, "progress")
@@ -217,11 +273,16 @@ def stream_warm_start_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbox, out = new_folder(spark, "inbox"), new_folder(spark, "enriched")
     history, live = history_and_live(spark, sf_dir)
     M.write_folder(M.encode(live), inbox)
-    rows = J.enriched_stream(
-        R.required_fields(M.decode(M.folder_stream(spark, inbox))),
-        J.initial_state(history, DAILY),
-    )
-    J.append_to_folder(rows, out, new_folder(spark, "progress")).awaitTermination()
+    before = spark.conf.get(J.STATE_STORE_SETTING)
+    spark.conf.set(J.STATE_STORE_SETTING, J.STATE_STORE)
+    try:
+        rows = J.enriched_stream(
+            R.required_fields(M.decode(M.folder_stream(spark, inbox))),
+            J.initial_state(history, DAILY),
+        )
+        J.append_to_folder(rows, out, new_folder(spark, "progress")).awaitTermination()
+    finally:
+        spark.conf.set(J.STATE_STORE_SETTING, before)
     return rounded(spark.read.schema(J.ENRICHED_SCHEMA).parquet(out).select(*OUT_ENRICHED))
 
 
@@ -231,7 +292,9 @@ QUERIES: dict[str, Query] = {
     "bars_hourly": over_hourly(lambda b: b),
     "bars_scan": bars_scan,
     "bars_page": over_daily(lambda b: scan_bars(b, offset=PAGE_OFFSET, limit=PAGE_LIMIT)),
-    "history_scan": over_daily(lambda b: scan_history(b, start_date=LIVE_START)),
+    "bars_scan_code": bars_scan_code,
+    "bars_on_date": bars_on_date,
+    "history_scan": history_scan,
     "required_fields": required_fields,
     "volume_alias": volume_alias,
     "json_roundtrip": json_roundtrip,
@@ -268,6 +331,9 @@ QUERIES: dict[str, Query] = {
     "history_live_union": history_live_union,
     "history_live_dedup": history_live_dedup,
     "latest_panel": over_daily(lambda b: V.latest_values(b, DAILY), *NARROW),
+    "latest_panel_text": over_daily(
+        lambda b: V.panel(rounded(V.latest_values(b, DAILY))), *NARROW
+    ),
     "chart_series": over_daily(
         lambda b: V.chart_series(R.enriched_records(b, DAILY)), *NARROW
     ),
@@ -275,7 +341,9 @@ QUERIES: dict[str, Query] = {
     "stream_decode": stream_decode,
     "stream_batch_indicators": stream_batch_indicators,
     "stream_enriched": stream_enriched,
+    "stream_enriched_paced": stream_enriched_paced,
     "stream_warm_start": stream_warm_start,
+    "stream_warm_start_paced": stream_warm_start_paced,
     "stream_warm_start_store": stream_warm_start_store,
     # extensions
     "history_lookup": history_lookup,

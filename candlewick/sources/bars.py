@@ -5,6 +5,7 @@ A bar is one row per (``ts_code``, ``trade_date``) with prices and volume.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,8 @@ BAR_SCHEMA = T.StructType(
     ]
 )
 BAR_FIELDS = tuple(BAR_SCHEMA.fieldNames())
+# Bar fields that need the bar before.
+_CHAINED = frozenset({"pre_close", "change", "pct_chg"})
 HISTORY_FIELDS = ("ts_code", "trade_date", "close", "high", "low", "vol")
 
 
@@ -64,10 +67,12 @@ def scan_bars(
     if end_date:
         rows = rows.where(F.col("trade_date") <= end_date)
     rows = rows.select(*fields)
-    if offset or limit:
+    # A limit of 0 is one: it asks for no rows.
+    paged = [value is not None and value != "" for value in (offset, limit)]
+    if any(paged):
         rows = rows.orderBy("ts_code", "trade_date")
-        rows = rows.offset(offset) if offset else rows
-        rows = rows.limit(limit) if limit else rows
+        rows = rows.offset(offset) if paged[0] else rows
+        rows = rows.limit(limit) if paged[1] else rows
     return rows
 
 
@@ -76,35 +81,105 @@ def scan_history(bars: DataFrame, **bounds: str) -> DataFrame:
     return scan_bars(bars, fields=HISTORY_FIELDS, **bounds).withColumnRenamed("vol", "volume")
 
 
-def daily_bars(lineitem: DataFrame, layout: SeriesLayout = DAILY) -> DataFrame:
-    """Daily bars per supplier from order lines (price = extended price)."""
-    # Order and line share one long; part and price in cents break ties.
-    line = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
+def daily_bars(
+    lineitem: DataFrame,
+    layout: SeriesLayout = DAILY,
+    ts_code: str | None = None,
+    start_date: str | None = None,
+    end_date: str | None = None,
+    fields: tuple[str, ...] = BAR_FIELDS,
+) -> DataFrame:
+    """Daily bars per supplier from order lines (price = extended price).
+
+    Code and inclusive dates bound the lines that are read. The start does so only if
+    no field that looks back to an earlier bar is asked for; the bars are bounded anyway.
+    """
     cents = (F.col("l_extendedprice") * 100 + 0.5).cast("long")
-    return _resample(
-        lineitem,
+    lines = _bounded(lineitem, "l_shipdate", "%Y%m%d", timedelta(days=1), start_date, end_date, fields)
+    if ts_code and ts_code.isdigit():
+        lines = lines.where(F.col("l_suppkey") == int(ts_code))
+    bars = _resample(
+        lines,
         series=F.col("l_suppkey"),
         bucket=F.to_date("l_shipdate"),
-        stamp="yyyyMMdd",
+        stamp=F.date_format("_bucket", "yyyyMMdd"),
         price=F.col("l_extendedprice"),
         volume=F.col("l_quantity"),
-        order=_rank((line, 16), (F.col("l_partkey"), 12), (cents, 10)),
+        order=_rank(
+            (F.col("l_orderkey"), 12), (F.col("l_linenumber"), 5), (F.col("l_partkey"), 11), (cents, 10)
+        ),
         layout=layout,
+        fields=fields,
     )
+    return scan_bars(bars, ts_code, start_date=start_date, end_date=end_date, fields=fields)
+
 
+def hourly_bars(
+    events: DataFrame,
+    layout: SeriesLayout = HOURLY,
+    ts_code: str | None = None,
+    start_date: str | None = None,
+    end_date: str | None = None,
+    fields: tuple[str, ...] = BAR_FIELDS,
+) -> DataFrame:
+    """Hourly bars per event type from the event log (price = value).
 
-def hourly_bars(events: DataFrame, layout: SeriesLayout = HOURLY) -> DataFrame:
-    """Hourly bars per event type from the event log (price = value)."""
-    return _resample(
-        events,
+    Hours are those of the stored, zone-free time, whatever the session's zone. Bounds
+    (`yyyyMMddHH`) work as for `daily_bars`.
+    """
+    rows = _bounded(events, "ts", "%Y%m%d%H", timedelta(hours=1), start_date, end_date, fields)
+    if ts_code:
+        rows = rows.where(F.col("event_type") == ts_code)
+    day, hour = F.unix_date(F.to_date("ts")).cast("long"), F.hour("ts").cast("long")
+    in_hour = F.minute("ts").cast("long") * 60_000_000 + (F.expr("extract(SECOND FROM ts)") * 1_000_000).cast("long")
+    bucket = F.col("_bucket")
+    bars = _resample(
+        rows,
         series=F.col("event_type"),
-        bucket=F.date_trunc("hour", "ts"),
-        stamp="yyyyMMddHH",
+        bucket=day * 24 + hour,
+        stamp=F.concat(
+            F.date_format(F.date_from_unix_date(F.floor(bucket / 24).cast("int")), "yyyyMMdd"),
+            F.lpad(F.pmod(bucket, F.lit(24)).cast("string"), 2, "0"),
+        ),
         price=F.col("value"),
         volume=F.lit(1.0),
-        order=_rank((F.unix_micros(F.col("ts").cast("timestamp")), 19), (F.col("event_id"), 19)),
+        order=_rank(((day * 24 + hour) * 3_600_000_000 + in_hour, 19), (F.col("event_id"), 19)),
         layout=layout,
+        fields=fields,
     )
+    return scan_bars(bars, ts_code, start_date=start_date, end_date=end_date, fields=fields)
+
+
+def _bounded(
+    rows: DataFrame,
+    column: str,
+    form: str,
+    width: timedelta,
+    start_date: str | None,
+    end_date: str | None,
+    fields: tuple[str, ...],
+) -> DataFrame:
+    """The rows whose raw time can fall into the bounds, as comparisons a scan can push.
+
+    A bound that is not a whole date is left to the comparison of the bars' dates.
+    """
+    kind = rows.schema[column].dataType.simpleString()
+
+    def at(bound: str | None, later: timedelta) -> Column | None:
+        try:
+            moment = datetime.strptime(bound or "", form) + later
+        except (ValueError, OverflowError):
+            return None
+        if moment.strftime(form) != bound and not later:
+            return None
+        return F.expr(f"{kind}'{moment:%Y-%m-%d %H:%M:%S}'")
+
+    end, start = at(end_date, width), at(start_date, timedelta())
+    if end is not None:
+        rows = rows.where(F.col(column) < end)
+    if start is not None and not _CHAINED & set(fields):
+        rows = rows.where(F.col(column) >= start)
+    return rows
 
 
 def _rank(*parts: tuple[Column, int]) -> Column:
@@ -128,11 +203,12 @@ def _resample(
     rows: DataFrame,
     series: Column,
     bucket: Column,
-    stamp: str,
+    stamp: Column,
     price: Column,
     volume: Column,
     order: Column,
     layout: SeriesLayout,
+    fields: tuple[str, ...],
 ) -> DataFrame:
     # Grouping by the raw key and bucket keeps the shuffled keys narrow, and all
     # aggregates merge, so a hot key is reduced before the shuffle.
@@ -155,7 +231,7 @@ def _resample(
         )
         .select(
             F.col("_series").cast("string").alias("ts_code"),
-            F.date_format("_bucket", stamp).alias("trade_date"),
+            stamp.alias("trade_date"),
             "open",
             "high",
             "low",
@@ -164,6 +240,8 @@ def _resample(
             "amount",
         )
     )
+    if not _CHAINED & set(fields):
+        return bars
     previous = F.lag("close").over(layout.window())
     return without_context(
         with_context(bars, 1, layout)

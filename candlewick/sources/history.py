@@ -29,7 +29,10 @@ def look_up(
     start_date: str | None = None,
     end_date: str | None = None,
 ) -> DataFrame:
-    """Stored rows by code and inclusive date range; only the months needed are read."""
+    """Stored rows by code and inclusive date range; only the months needed are read.
+
+    Rows with an empty date come before every start; their month is stored as null.
+    """
     rows = spark.read.parquet(folder)
     month = F.col("month").cast("string")
     if ts_code:
@@ -37,5 +40,7 @@ def look_up(
     if start_date:
         rows = rows.where((month >= start_date[:6]) & (F.col("trade_date") >= start_date))
     if end_date:
-        rows = rows.where((month <= end_date[:6]) & (F.col("trade_date") <= end_date))
+        rows = rows.where(
+            (month.isNull() | (month <= end_date[:6])) & (F.col("trade_date") <= end_date)
+        )
     return rows.drop("month")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,12 +16,15 @@ from candlewick.operators.indicators import PSAR_ROWS
 from candlewick.operators.rows import WARMUP, enriched_records, indicator_rows
 from candlewick.operators.views import from_state
 from candlewick.plans.layout import N_INC, VOL_INC, SeriesLayout, increments
+from candlewick.plans.shipping import ship_package
 from candlewick.sources import messages as M
 from candlewick.sources.bars import BAR_FIELDS, BAR_SCHEMA
 from candlewick.streaming.state import ROW_SCHEMA, RecentBars, tail_column
 
+# The fields of an enriched record and of an indicator message.
 ENRICHED_SCHEMA = T.StructType(
     BAR_SCHEMA.fields
+    + [T.StructField("volume", T.DoubleType())]
     + [T.StructField(c, T.DoubleType()) for c in ("k", "d", "j", "obv", "psar")]
 )
 INDICATOR_SCHEMA = T.StructType(
@@ -33,6 +37,10 @@ INDICATOR_SCHEMA = T.StructType(
     ]
 )
 
+# The store that stateful processors need.
+STATE_STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 Sink = Callable[[DataFrame, int], None]
 
 
@@ -106,7 +114,9 @@ def start_batch_indicators(
 
 # -- enrichment, state as a table -------------------------------------------------------
 
-_ARRIVAL = ("src_seq", "trade_date")
+# Carried bars (0) keep their places; of a micro-batch (1) dated bars come first, in date
+# order, and undated ones after them.
+_ARRIVAL = ("src_seq", "pos", "trade_date")
 TABLE_STATE = T.StructType(
     [
         T.StructField("ts_code", T.StringType()),
@@ -146,21 +156,33 @@ def start_enriched_batches(
     The last bars and totals of every series are carried from batch to batch in a
     small table under ``state``; they enter the next batch as rows before its own.
     All work is native and follows ``layout``, so a series that dominates a batch
-    is split.  Output and state of a batch are overwritten if it runs again, and
+    is split.  The history of a series is the order of arrival: carried bars keep their
+    places, so how the bars fall into micro-batches changes nothing but the order within
+    each.  Records leave as they came, with fields added.  Output and state of a batch are overwritten if it runs again, and
     two alternating state folders keep the one it reads intact.
     """
     spark = records.sparkSession
     layout = replace(layout, order=_ARRIVAL)
+    if warm is not None:
+        # The first batch reads it several times; a restart finds it there.
+        stored = f"{state}/warm"
+        try:
+            spark.read.schema(TABLE_STATE).parquet(stored)
+        except AnalysisException:
+            warm.select(*TABLE_STATE.fieldNames()).write.mode("overwrite").parquet(stored)
 
     def carried(batch_id: int) -> DataFrame:
         if batch_id > 0:
             return spark.read.schema(TABLE_STATE).parquet(f"{state}/slot={(batch_id - 1) % 2}")
-        return spark.createDataFrame([], TABLE_STATE) if warm is None else warm
+        if warm is None:
+            return spark.createDataFrame([], TABLE_STATE)
+        return spark.read.schema(TABLE_STATE).parquet(f"{state}/warm")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         before = carried(batch_id).select("ts_code", "n", "obv", "tail", F.posexplode("tail")).select(
             "ts_code",
             "col.*",
+            "pos",
             F.lit(0).alias("src_seq"),
             # The oldest carried bar stands for all rows before it as well.
             F.when(F.col("pos") == 0, F.col("n") - F.size("tail") + 1)
@@ -170,22 +192,26 @@ def start_enriched_batches(
         )
         # Read by three aggregations and windows below, decoded once.
         batch = batch.persist()
-        n_inc, vol_inc = increments(batch)
-        arrived = batch.withColumns({"src_seq": F.lit(1), N_INC: n_inc, VOL_INC: vol_inc})
-        rows = before.unionByName(arrived, allowMissingColumns=True)
-        enriched = enriched_records(rows, layout).where(F.col("src_seq") == 1)
-        enriched.select(*ENRICHED_SCHEMA.fieldNames()).write.mode("overwrite").parquet(
-            f"{folder}/batch={batch_id}"
-        )
-        table_state(rows, layout.whole()).write.mode("overwrite").parquet(
-            f"{state}/slot={batch_id % 2}"
-        )
-        batch.unpersist()
+        try:
+            n_inc, vol_inc = increments(batch)
+            undated = F.coalesce("trade_date", F.lit("")) == ""
+            arrived = batch.withColumns(
+                {"src_seq": F.lit(1), "pos": undated.cast("int"), N_INC: n_inc, VOL_INC: vol_inc}
+            )
+            rows = before.unionByName(arrived, allowMissingColumns=True)
+            enriched = enriched_records(rows, layout).where(F.col("src_seq") == 1)
+            enriched.select(*ENRICHED_SCHEMA.fieldNames()).write.mode("overwrite").parquet(
+                f"{folder}/batch={batch_id}"
+            )
+            table_state(rows, layout.whole()).write.mode("overwrite").parquet(
+                f"{state}/slot={batch_id % 2}"
+            )
+        finally:
+            batch.unpersist()
 
     pace = {"processingTime": processing_time} if processing_time else {"availableNow": True}
     return (
-        records.withColumn("vol", F.coalesce("vol", "volume", F.lit(0.0)))
-        .select(*BAR_FIELDS)
+        records.select(*BAR_FIELDS, "volume")
         .writeStream.foreachBatch(process)
         .option("checkpointLocation", progress)
         .trigger(**pace)
@@ -208,17 +234,17 @@ def enriched_stream(
     """Each record with ``k, d, j, obv, psar`` from all records before it.
 
     The stateful step only remembers: a row count, a volume and the last bars per
-    series.  The indicators are native expressions on what it hands out.
+    series.  The indicators are native expressions on what it hands out.  Records leave
+    as they came, with fields added.  Needs ``spark.sql.streaming.stateStore.providerClass``
+    set to ``STATE_STORE``; it is the session's setting, so the caller's to make.
     """
     spark = records.sparkSession
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    volume = F.coalesce("vol", "volume", F.lit(0.0))
+    if spark.conf.get(STATE_STORE_SETTING, "") != STATE_STORE:
+        raise ValueError(f"set {STATE_STORE_SETTING} to {STATE_STORE}")
+    ship_package(spark)
     rows = (
-        records.withColumn("vol", volume)
-        .select(*BAR_FIELDS)
+        records.select(*BAR_FIELDS, "volume")
+        .withColumn("counted", F.coalesce("vol", "volume", F.lit(0.0)))
         .groupBy("ts_code")
         .transformWithStateInPandas(
             statefulProcessor=RecentBars(),

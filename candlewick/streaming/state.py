@@ -7,6 +7,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,9 @@ _SERIES_FIELDS = [
 ]
 # State of a series; and a bar with the state of its series just after it.
 STATE_SCHEMA = T.StructType(_SERIES_FIELDS)
-ROW_SCHEMA = T.StructType(BAR_SCHEMA.fields + _SERIES_FIELDS)
+ROW_SCHEMA = T.StructType(
+    [*BAR_SCHEMA.fields, T.StructField("volume", T.DoubleType()), *_SERIES_FIELDS]
+)
 
 
 def tail_column() -> Column:
@@ -36,7 +39,8 @@ class RecentBars(StatefulProcessor):
     """Emits every bar with the count, volume and last ten bars up to it.
 
     The state is a few numbers and nine bars per series, however long the stream.
-    Bars of a series that arrive in one micro-batch are taken in date order.
+    Bars of a series that arrive in one micro-batch are taken in date order, undated ones
+    last.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -46,17 +50,26 @@ class RecentBars(StatefulProcessor):
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
         n, obv, *past = self._state.get() if self._state.exists() else (0, 0.0, [], [], [])
-        bars = pd.concat(list(rows)).sort_values("trade_date", kind="stable", ignore_index=True)
-        ends = range(len(past[0]) + 1, len(past[0]) + len(bars) + 1)
+        bars = pd.concat(list(rows))
+        bars = bars.assign(trade_date=bars["trade_date"].fillna(""))
+        undated = bars["trade_date"] == ""
+        bars = bars.assign(_undated=undated).sort_values(
+            ["_undated", "trade_date"], kind="stable", ignore_index=True
+        )
         added: dict[str, Any] = {
             "ts_code": key[0],
             "n": range(n + 1, n + len(bars) + 1),
-            "obv": obv + bars["vol"].cumsum(),
+            "obv": obv + bars["counted"].cumsum(),
         }
         kept = []
         for name, price, before in zip(_RECENT, _PRICES, past):
             known = np.concatenate([np.array(before, dtype=float), bars[price].to_numpy()])
-            added[name] = [known[max(0, end - PSAR_ROWS) : end] for end in ends]
+            # Windows are views of one array; only the first bars of a series have fewer rows.
+            short = max(0, min(PSAR_ROWS - 1, len(known)) - len(before))
+            views = sliding_window_view(known, PSAR_ROWS) if len(known) >= PSAR_ROWS else known[:0]
+            first = len(known) - len(bars) - PSAR_ROWS + 1
+            added[name] = [known[: len(before) + i + 1] for i in range(short)]
+            added[name] += list(views[max(0, first) :])
             kept.append(known[-(PSAR_ROWS - 1) :].tolist())
         out = bars.assign(**added)
         self._state.update((n + len(bars), float(out["obv"].iloc[-1]), *kept))

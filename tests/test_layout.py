@@ -11,7 +11,7 @@ from candlewick.operators import aggregates as A
 from candlewick.operators import indicators as I
 from candlewick.operators import rows as R
 from candlewick.operators import windows as W
-from candlewick.plans.layout import SeriesLayout, fitting_layout, with_context
+from candlewick.plans.layout import SeriesLayout, with_context
 from candlewick.sources.bars import BAR_FIELDS
 
 WHOLE = SeriesLayout(chunk_chars=None)
@@ -78,11 +78,6 @@ def test_recursion_without_any_reversal_settles(spark):
     assert near(got.first().psar, list_psar([p[:3] for p in prices]), 1e-12)
 
 
-def test_fitting_layout_follows_the_longest_series(skewed):
-    cut = SeriesLayout(chunk_chars=6)
-    assert fitting_layout(skewed, cut, longest_whole=400).chunk_chars is None
-    assert fitting_layout(skewed, cut, longest_whole=399) == cut
-
 
 def test_invariants(skewed):
     rows = R.all_indicators(skewed, WHOLE).collect()

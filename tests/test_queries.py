@@ -7,6 +7,8 @@ from compare import assert_same, duck
 from conftest import SF_DIR
 
 import __spark_entry__ as entry_points
+from candlewick.oracle import ORACLE_SQL
+from candlewick.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,14 +17,19 @@ def con():
 
 
 def test_every_query_has_reference_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+def test_entry_points_hold_every_query():
+    assert QUERIES.items() <= entry_points.queries().items()
+    assert ORACLE_SQL.items() <= entry_points.oracle_sql().items()
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_reference_sql(spark, con, name):
-    got = entry_points.queries()[name](spark, SF_DIR).toPandas()
+    got = QUERIES[name](spark, SF_DIR).toPandas()
     assert len(got) > 0
-    assert_same(got, con.sql(entry_points.oracle_sql()[name]).df())
+    assert_same(got, con.sql(ORACLE_SQL[name]).df())
 
 
 def test_entry(spark):
