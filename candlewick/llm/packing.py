@@ -28,18 +28,24 @@ LENGTH = 2048
 BUCKETS, DIMENSIONS, GRID_BITS = 256, 3, 10
 SEED = 20240917
 # Chunks of text whose ids are remembered by a worker, until there are so many.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 # Texts of these letters only are split by white space without changing any id: they are
 # their own composed form, lower-case one letter at a time, and hold no odd spaces.
 _PLAIN = re.compile(r"[^\t\n\r -~¡-įĲ-ňŊ-ɏ‐-‧]")
 
 
+# Byte-level vocabularies write the bytes that have no visible letter as letters from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
 class Ids:
     """Token ids of whole texts as `tokenizers` gives them, with remembered chunks."""
 
     def __init__(self, path: str) -> None:
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
@@ -53,17 +59,20 @@ class Ids:
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.kind).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one split word: only the vocabulary model is left to apply."""
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            found = [token.id for token in self.model.tokenize(letters)]
+            ids = self.words[word] = np.array(found, self.kind).tobytes()
+        return ids
+
     def _chunk(self, chunk: str) -> bytes:
         """A chunk is split as the tokenizer does, and its words are remembered as well."""
-        found = []
-        for word in self.split.findall(chunk):
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                ids = self.words[word] = self._encoded(word)
-            found.append(ids)
-        ids = b"".join(found)
+        ids = b"".join(map(self._word, self.split.findall(chunk)))
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[chunk] = ids
@@ -77,12 +86,8 @@ class Ids:
             or (text.isascii() and not text.isprintable() and _PLAIN.search(text))
         ):
             return np.frombuffer(self._encoded(text), self.kind)
-        known = self.known
-        found = []
-        for chunk in text.lower().split():
-            ids = known.get(chunk)
-            found.append(self._chunk(chunk) if ids is None else ids)
-        return np.frombuffer(b"".join(found), self.kind)
+        known, chunk = self.known.get, self._chunk  # no chunk is without ids
+        return np.frombuffer(b"".join([known(c) or chunk(c) for c in text.lower().split()]), self.kind)
 
 
 def _split_pattern(spec: dict) -> str | None:
