@@ -73,8 +73,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column("lang"),
                 batch.column("draw"),
-                pa.array([m[0] for m in made], pa.list_(pa.int64())),
-                pa.array([m[1] for m in made], pa.list_(pa.float64())),
+                pa.array([m[0].astype("<u2").tobytes() for m in made], pa.binary()),
+                pa.array([m[1].astype("<f4").tobytes() for m in made], pa.binary()),
             ],
             names=["lang", "draw", "at", "share"],
         )
@@ -182,11 +182,16 @@ def train(docs: DataFrame) -> Model:
     found = in_arrow(
         sample.select("lang", "draw", "text"),
         _features,
-        "lang string, draw long, at array<long>, share array<double>",
-    ).toPandas()
-    found = found.sort_values(["draw", "lang"], kind="stable")
-    usable = found[found["at"].map(len) > 0]
-    return fit([(r.lang, np.asarray(r.at), np.asarray(r.share)) for r in usable.itertuples()])
+        "lang string, draw long, at binary, share binary",
+    ).collect()
+    found.sort(key=lambda r: (r["draw"], r["lang"]))
+    return fit(
+        [
+            (r["lang"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["share"], "<f4"))
+            for r in found
+            if r["at"]
+        ]
+    )
 
 
 _RESULT = "doc_id long, lang_pred string, score double, accepted boolean"
