@@ -185,8 +185,8 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column("draw"),
                 pa.array([m[0] for m in made], pa.int64()),
-                pa.array([m[1] for m in made], pa.list_(pa.int64())),
-                pa.array([m[2] for m in made], pa.list_(pa.float64())),
+                pa.array([m[1].astype("<u2").tobytes() for m in made], pa.binary()),
+                pa.array([m[2].astype("<f4").tobytes() for m in made], pa.binary()),
             ],
             names=["draw", "pattern", "at", "value"],
         )
@@ -230,11 +230,14 @@ def train(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> tuple[Scorer,
     if last is None:
         return fit([]), labels
     sample = rows.where(F.col("draw") <= last).dropDuplicates(["draw"]).select("draw", "text")
-    made = in_arrow(sample, _trained, "draw long, pattern long, at array<long>, value array<double>")
-    made = made.toPandas().sort_values("draw", kind="stable")
-    good = labels.posterior(unpacked(made["pattern"].to_numpy(np.int64)))
-    examples = zip(good, made["at"].map(np.asarray), made["value"].map(np.asarray), strict=True)
-    return fit(list(examples)), labels
+    made = in_arrow(sample, _trained, "draw long, pattern long, at binary, value binary").collect()
+    made.sort(key=lambda r: r["draw"])
+    good = labels.posterior(unpacked(np.array([r["pattern"] for r in made], np.int64)))
+    examples = [
+        (g, np.frombuffer(r["at"], "<u2"), np.frombuffer(r["value"], "<f4"))
+        for g, r in zip(good, made, strict=True)
+    ]
+    return fit(examples), labels
 
 
 def scored(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
