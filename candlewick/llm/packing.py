@@ -182,7 +182,7 @@ def hilbert_key(points: np.ndarray, bits: int = GRID_BITS) -> np.ndarray:
     return key
 
 
-def _pieces(kind: np.dtype, length: int):
+def _pieces(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         schema = pa.schema(
@@ -192,7 +192,8 @@ def _pieces(kind: np.dtype, length: int):
             rows = []
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "before", "n"))
             for i, (doc, before, n) in enumerate(zip(*columns, strict=True)):
-                ids = np.frombuffer(expand(batch.column("ids")[i].as_py()), kind).astype("<u4")
+                data = expand(batch.column("ids")[i].as_py())
+                ids = np.frombuffer(data, f"u{len(data) // n}").astype("<u4")
                 start = 0
                 while start < n:
                     sequence, offset = divmod(before + start, length)
@@ -244,13 +245,8 @@ def packed(docs: DataFrame, path: str = TOKENIZER, end: int = END, length: int =
     order = in_order(narrow, ["key", "_id", "row"], F.col("n"), "curve").select("row", "before")
     # The side with two numbers per document is the one held in memory.
     placed = tokens.select("row", "doc_id", "n", "ids").join(order.hint("shuffle_hash"), "row")
-    kind = _kind(path)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _PIECE_COUNTS) + ", ids binary"
-    return in_arrow(placed.select("doc_id", "before", "n", "ids"), _pieces(kind, length), schema)
-
-
-def _kind(path: str):
-    return np.uint16 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else np.uint32
+    return in_arrow(placed.select("doc_id", "before", "n", "ids"), _pieces(length), schema)
 
 
 def sequences(pieces: DataFrame, length: int = LENGTH, pad: int = 0) -> DataFrame:
