@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -234,9 +233,10 @@ def accepted_only(docs: DataFrame, model: Model) -> DataFrame:
     ship_package(docs.sparkSession)
     predict = model.predict
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
-        found = (predict(t) for t in texts)
-        return pd.Series([lang != UNKNOWN and score >= model.threshold for lang, score in found], dtype=bool)
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        # One text at a time is a Python string.
+        found = (predict(texts[i].as_py()) for i in range(len(texts)))
+        return pa.array([lang != UNKNOWN and score >= model.threshold for lang, score in found], pa.bool_())
 
     return docs.where(accepted("text"))
