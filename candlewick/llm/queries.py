@@ -9,11 +9,14 @@ from candlewick.llm import (
     digest_index,
     gray_index,
     language,
+    licenses,
     lines,
     mixing,
     packing,
     piecewise,
+    resampling,
     secrets,
+    spelling,
     warc,
     weak_labels,
 )
@@ -73,6 +76,19 @@ def op10_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digested(licenses.license_notices(_table(spark, sf_dir, "documents")))
+
+
+def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_batch_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return resampling.ranked(docs, target).drop("n_words")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,7 +102,14 @@ QUERIES = {
         op8_warc_index,
         op9_secret_scan,
         op10_digest_index,
+        op11_license_scan,
+        op12_permuterm_variants,
+        op13_batch_resampling,
     )
 }
 
-ORACLE_SQL = {"op10_digest_index": digest_index.ORACLE_SQL}
+ORACLE_SQL = {
+    "op10_digest_index": digest_index.ORACLE_SQL,
+    "op12_permuterm_variants": spelling.ORACLE_SQL,
+    "op13_batch_resampling": resampling.ORACLE_SQL,
+}
