@@ -54,6 +54,11 @@ def step_toward(level: Column, target: Column, factor: Column | float) -> Column
 
 
 def panel_text(value: Column) -> Column:
-    """Two decimals, or ``--`` for a value that is null, NaN or zero."""
+    """Two decimals, or ``--`` for a value that is null, NaN or zero.
+
+    Rounds the number itself, not its shortest decimal form: 83380.185 lies below the half
+    and gives 83380.18. Only exact halves are ties, and go to the even digit.
+    """
     missing = value.isNull() | F.isnan(value) | (value == 0)
-    return F.when(missing, F.lit("--")).otherwise(F.format_string("%.2f", value))
+    text = F.call_function("format_number", value, F.lit("0.00"))
+    return F.when(missing, F.lit("--")).otherwise(text)

@@ -6,16 +6,20 @@ series; the two list-form folds included.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.functions import expressions as E
+from candlewick.functions import reversal_scan as scan
 from candlewick.functions import stop_and_reverse as sar
 from candlewick.functions.tails import KD_START, KDJ_PERIOD
 from candlewick.operators.indicators import PSAR_ROWS, add_rsv
 from candlewick.operators.windows import position
 from candlewick.plans.layout import CHUNK, HALO, SeriesLayout, increments, with_context
-from candlewick.plans.scratch import shared_root
+from candlewick.plans.shipping import ship_package
 
 _KEEP = 2 / 3  # share of the previous K or D that smoothing keeps
 
@@ -102,61 +106,41 @@ def psar_of_series(
     layout: SeriesLayout,
     af_step: float = sar.AF_STEP,
     af_max: float = sar.AF_MAX,
+    spare: int = scan.SPARE,
 ) -> DataFrame:
     """Stop-and-reverse level after the last bar of each whole series.
 
-    The recursion is sequential, but a reversal resets its state to values read
-    from the data, so two runs that reverse at the same bar agree from there on.
-    Every chunk is first folded on its own; then each chunk whose predecessor
-    ended in another state than it assumed is folded again from that state, until
-    nothing changes.  Series that reverse at least once per chunk settle after one
-    repetition; in the worst case one more chunk is final per round.
+    The recursion is sequential, but in time forgets the state it started from. A first pass
+    runs over all chunks at once and leaves of each its head (see `reversal_scan`); a second
+    one runs along the heads of a series, which are about a hundred bars a chunk unless
+    prices hardly reverse. Only if a series does not agree at the end of some head is it run over bar by
+    bar; without such a series those bars are not even shuffled. Rows pass one by one, so
+    no task holds a chunk or a series. Bars of one date are taken by high, low and close.
     """
     spark = bars.sparkSession
-    shared_root(spark)
-    whole = layout.chunk_chars is None
-    rows = bars.withColumn(CHUNK, F.lit("") if whole else layout.chunk())
-    bar = F.struct(*layout.order, "high", "low", "close")
-    gap = F.col("high").isNull() | F.col("low").isNull()
-    chunks = rows.groupBy(layout.key, CHUNK).agg(
-        F.sort_array(F.collect_list(bar)).alias("_bars"), F.count_if(gap).alias("_gaps")
-    )
-    if not whole:
-        # Read again in every round, so written once.
-        chunks = chunks.checkpoint()
-    unseeded = F.lit(None).cast(sar.STATE_TYPE)
-    ends = chunks.select(
-        layout.key,
-        CHUNK,
-        "_gaps",
-        sar.fold(F.col("_bars"), None, af_step, af_max).alias("_end"),
-        unseeded.alias("_seed"),
-    )
-    if not whole:
-        ends = _settle(ends.checkpoint(), chunks, layout, af_step, af_max)
-    return ends.groupBy(layout.key).agg(
-        F.when(F.sum("_gaps") == 0, F.max_by("_end", CHUNK).getField("p")).alias("psar")
-    )
-
-
-def _settle(
-    ends: DataFrame, chunks: DataFrame, layout: SeriesLayout, af_step: float, af_max: float
-) -> DataFrame:
-    by_chunk = Window.partitionBy(layout.key).orderBy(CHUNK)
-    while True:
-        linked = ends.withColumn("_true_seed", F.lag("_end").over(by_chunk))
-        fits = F.col("_true_seed").eqNullSafe(F.col("_seed"))
-        stale = linked.where(~fits)
-        if stale.isEmpty():
-            return ends
-        again = stale.join(chunks.select(layout.key, CHUNK, "_bars"), [layout.key, CHUNK]).select(
-            layout.key,
-            CHUNK,
-            "_gaps",
-            sar.fold(F.col("_bars"), F.col("_true_seed"), af_step, af_max).alias("_end"),
-            F.col("_true_seed").alias("_seed"),
-        )
-        ends = linked.where(fits).drop("_true_seed").unionByName(again).checkpoint()
+    ship_package(spark)
+    chunk = F.lit("") if layout.chunk_chars is None else layout.chunk()
+    prices = ["high", "low", "close"]
+    dates = [F.col(c).alias(f"_o{i}") for i, c in enumerate(layout.order)]
+    rows = bars.select(F.col(layout.key).cast("string").alias("task"), chunk.alias("chunk"), *dates, *prices)
+    order = [*(f"_o{i}" for i in range(len(dates))), *prices]
+    dealt = rows.repartition("task", "chunk").sortWithinPartitions("task", "chunk", *order)
+    step, most = float(af_step), float(af_max)
+    mark = T.StructType([T.StructField(f.name, T.DoubleType()) for f in scan.MARK])
+    fields = [f for f in rows.schema.fields if f.name != "chunk"]
+    marked = T.StructType([*fields, T.StructField("mark", mark)])
+    heads = dealt.mapInArrow(scan.heads(step, most, spare), marked)
+
+    def run(part: DataFrame) -> DataFrame:
+        along = part.repartition("task").sortWithinPartitions("task", *order)
+        return along.mapInArrow(scan.levels(step, most), "task string, psar double, lost boolean")
+
+    found = run(heads)
+    # Without a lost series the subquery empties the scan before anything is shuffled.
+    some = rows.where(F.coalesce(found.agg(F.bool_or("lost")).scalar(), F.lit(False)))
+    again = some.join(found.where("lost").select("task"), "task", "left_semi").drop("chunk")
+    again = run(again.withColumn("mark", F.lit(None).cast(mark)))
+    return found.where("not lost").unionByName(again).select(F.col("task").alias(layout.key), "psar")
 
 
 def last_bars(bars: DataFrame, k: int, layout: SeriesLayout) -> DataFrame:
@@ -171,13 +155,29 @@ def last_bars(bars: DataFrame, k: int, layout: SeriesLayout) -> DataFrame:
 
 
 def series_state(bars: DataFrame, layout: SeriesLayout, rows: int = PSAR_ROWS) -> DataFrame:
-    """What a series leaves behind for its next bar: row count, volume, last bars."""
+    """What a series leaves behind for its next bar: row count, volume, last bars.
+
+    One pass: each chunk of a series is summed up to its count, volume and last bars, and
+    the chunks of a series are merged. A series kept whole is cut by year for this.
+    """
+    cut = layout if layout.chunk_chars is not None else replace(layout, chunk_chars=4)
     bar = F.struct(*layout.order, "high", "low", "close")
-    tails = (
-        last_bars(bars.select(layout.key, *layout.order, "high", "low", "close"), rows, layout)
-        .groupBy(layout.key)
-        .agg(F.sort_array(F.collect_list(bar)).alias("tail"))
-    )
     n_inc, vol_inc = increments(bars)
-    totals = bars.groupBy(layout.key).agg(F.sum(n_inc).alias("n"), F.sum(vol_inc).alias("obv"))
-    return totals.join(tails, layout.key)
+
+    def newest(some: Column) -> Column:
+        return F.slice(some, F.greatest(F.size(some) - rows + 1, F.lit(1)), rows)
+
+    chunks = (
+        bars.withColumn(CHUNK, cut.chunk())
+        .groupBy(layout.key, CHUNK)
+        .agg(
+            F.sum(n_inc).alias("n"),
+            F.sum(vol_inc).alias("obv"),
+            newest(F.sort_array(F.collect_list(bar))).alias("tail"),
+        )
+    )
+    return chunks.groupBy(layout.key).agg(
+        F.sum("n").alias("n"),
+        F.sum("obv").alias("obv"),
+        newest(F.sort_array(F.flatten(F.collect_list("tail")))).alias("tail"),
+    )

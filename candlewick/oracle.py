@@ -125,6 +125,15 @@ folded(ts_code, n, k, d) AS (
   FROM folded f JOIN rsvs x ON x.ts_code = f.ts_code AND x.n = f.n + 1),
 ends AS (SELECT ts_code, max(n) AS n_bars FROM bars GROUP BY 1)"""
 
+# Bar by bar: both averages from the first close, the signal from their first difference.
+MACD = """,
+averaged(ts_code, n, f, s, g) AS (
+  SELECT ts_code, n, close, close, 0.0::DOUBLE FROM bars WHERE n = 1
+  UNION ALL
+  SELECT a.ts_code, b.n, a.f + 2.0::DOUBLE / 13 * (b.close - a.f), a.s + 2.0::DOUBLE / 27 * (b.close - a.s),
+         a.g + 0.2::DOUBLE * (a.f + 2.0::DOUBLE / 13 * (b.close - a.f) - a.s - 2.0::DOUBLE / 27 * (b.close - a.s) - a.g)
+  FROM averaged a JOIN bars b ON b.ts_code = a.ts_code AND b.n = a.n + 1)"""
+
 ENRICHED = KDJ + ROLLING_PSAR + """,
 enriched AS (
   SELECT b.* EXCLUDE (k, d, j),
@@ -393,5 +402,11 @@ ORACLE_SQL["stream_batch_indicators"] = sql(
     BATCHED, INDICATOR_ROWS.replace("r.ts_code, r.trade_date", "split_part(r.ts_code, '#', 1) AS ts_code, r.trade_date")
 )
 ORACLE_SQL["stream_enriched"] = sql(DAILY + ENRICHED, ENRICHED_FIVE)
-for _name in ("enriched_records", "kdj_agg", "psar_agg"):
+ORACLE_SQL["macd"] = sql(
+    DAILY + MACD,
+    """SELECT ts_code, trade_date, round(close, 6) + 0.0 AS close, round(f - s, 2) + 0.0 AS macd,
+    round(g, 2) + 0.0 AS signal, round(f - s - g, 2) + 0.0 AS histogram
+    FROM bars JOIN averaged USING (ts_code, n)""",
+)
+for _name in ("enriched_records", "kdj_agg", "psar_agg", "macd"):
     ORACLE_SQL[f"{_name}_hourly"] = ORACLE_SQL[_name].replace(DAILY_RAW, HOURLY_RAW)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlewick.operators import aggregates as A
+from candlewick.operators import averages as AV
 from candlewick.operators import indicators as I
 from candlewick.operators import rows as R
 from candlewick.operators import views as V
@@ -65,6 +66,12 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in doubles})
 
 
+def to_cents(df: DataFrame) -> DataFrame:
+    """Averages over a whole series add up in another order than the reference SQL does, so
+    their last digits differ."""
+    return df.withColumns({c: F.round(c, 2) for c in ("macd", "signal", "histogram")})
+
+
 def over_daily(transform: Callable[[DataFrame], DataFrame], *fields: str) -> Query:
     """Query that applies a transform to the named fields of the daily bars."""
 
@@ -327,6 +334,8 @@ QUERIES: dict[str, Query] = {
     "enriched_records_hourly": over_hourly(lambda b: R.enriched_records(b, HOURLY)),
     "kdj_agg_hourly": over_hourly(lambda b: A.kdj_of_series(b, HOURLY), *PRICES),
     "psar_agg_hourly": over_hourly(lambda b: A.psar_of_series(b, HOURLY), *PRICES),
+    "macd": over_daily(lambda b: to_cents(AV.macd(b, DAILY)), *CLOSE),
+    "macd_hourly": over_hourly(lambda b: to_cents(AV.macd(b, HOURLY)), *CLOSE),
     # sets and views
     "history_live_union": history_live_union,
     "history_live_dedup": history_live_dedup,
