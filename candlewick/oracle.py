@@ -408,5 +408,39 @@ ORACLE_SQL["macd"] = sql(
     round(g, 2) + 0.0 AS signal, round(f - s - g, 2) + 0.0 AS histogram
     FROM bars JOIN averaged USING (ts_code, n)""",
 )
+ORACLE_SQL["stream_dedup"] = sql(
+    DAILY, f"SELECT ts_code, trade_date, {r6('close', 'high', 'low', 'vol')} FROM bars"
+)
+ORACLE_SQL["stream_rejects"] = sql(
+    DAILY,
+    """SELECT CASE WHEN vol % 7 <> 6 THEN ts_code END AS ts_code,
+    CASE WHEN vol % 7 <> 6 THEN trade_date END AS trade_date,
+    CASE vol % 7 WHEN 6 THEN 'unreadable' WHEN 1 THEN 'without high' WHEN 2 THEN 'without low'
+                 WHEN 3 THEN 'without close' ELSE 'accepted' END AS reason FROM bars""",
+)
+ORACLE_SQL["stream_replay"] = sql(
+    DAILY,
+    f"""SELECT ts_code, trade_date, {r6("close", "high", "low", "vol")},
+    row_number() OVER (ORDER BY trade_date, ts_code) - 1 AS at FROM bars""",
+)
+ORACLE_SQL["history_upsert"] = sql(
+    DAILY,
+    f"""SELECT ts_code, trade_date, {r6("close", "high", "low")},
+    round(vol + CAST(trade_date >= '{Q.LIVE_START}' AS INT), 6) + 0.0 AS vol FROM bars""",
+)
+ORACLE_SQL["sql_indicators"] = sql(
+    DAILY + MOVES + KDJ + ROLLING_PSAR,
+    f"""SELECT ts_code, trade_date, {r6("rsi", "k", "d", "j", "psar")}
+    FROM (SELECT k.ts_code, k.trade_date, r.rsi, k.k, k.d, k.j, s.psar FROM kdj k
+          JOIN rsi r USING (ts_code, n) JOIN sar s USING (ts_code, n))""",
+)
+ORACLE_SQL["sql_series"] = sql(
+    DAILY + KDJ + SERIES_KDJ + SERIES_PSAR,
+    f"""SELECT ts_code, n_bars, {r6("k", "d", "j", "psar", "obv")}
+    FROM (SELECT e.ts_code, e.n_bars, f.k, f.d, 3 * f.k - 2 * f.d AS j, w.p AS psar, v.obv FROM ends e
+          JOIN whole w ON w.ts_code = e.ts_code AND w.i = w.n
+          JOIN (SELECT ts_code, sum(vol) AS obv FROM bars GROUP BY 1) v ON v.ts_code = e.ts_code
+          LEFT JOIN folded f ON f.ts_code = e.ts_code AND f.n = e.n_bars)""",
+)
 for _name in ("enriched_records", "kdj_agg", "psar_agg", "macd"):
     ORACLE_SQL[f"{_name}_hourly"] = ORACLE_SQL[_name].replace(DAILY_RAW, HOURLY_RAW)

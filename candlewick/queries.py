@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from candlewick.functions import sql_forms as SQL
 from candlewick.operators import aggregates as A
 from candlewick.operators import averages as AV
 from candlewick.operators import indicators as I
@@ -18,6 +19,7 @@ from candlewick.plans.layout import DAILY, HOURLY, SeriesLayout
 from candlewick.plans.scratch import new_folder
 from candlewick.sources import history as H
 from candlewick.sources import messages as M
+from candlewick.sources import replay as RP
 from candlewick.sources.bars import (
     BAR_FIELDS,
     HISTORY_FIELDS,
@@ -26,6 +28,7 @@ from candlewick.sources.bars import (
     scan_bars,
     scan_history,
 )
+from candlewick.streaming import intake as IN
 from candlewick.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +45,8 @@ STREAM_CUT = "19980630"
 PACE_CUTS = ("19951231", "19981231")
 WARM_PACE_CUTS = ("20000331", "20010331")
 FILES = 2
+DEDUP_DELAY = "400 days"
+REPLAY_BATCHES = 6
 SCAN_CODE, SCAN_DAY = "7", "19970310"
 
 # The list-form folds run on yearly chunks, the hourly queries on ten-day ones.
@@ -214,23 +219,29 @@ def stream_batch_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbox, out = new_folder(spark, "inbox"), new_folder(spark, "enriched")
     state, progress = new_folder(spark, "state"), new_folder(spark, "progress")
-    bars = daily(spark, sf_dir)
-    for part in (
-        bars.where(F.col("trade_date") <= STREAM_CUT),
-        bars.where(F.col("trade_date") > STREAM_CUT),
-    ):
+    bars = parted(daily(spark, sf_dir), (F.col("trade_date") > STREAM_CUT).cast("int"))
+    for part in range(2):
         # The second start resumes from the checkpoint with the state of the first.
-        M.write_folder(M.encode(part), inbox)
+        M.write_folder(M.encode(bars.where(F.col("part") == part).drop("part")), inbox)
         records = R.required_fields(M.decode(M.folder_stream(spark, inbox)))
         J.start_enriched_batches(records, out, state, progress, DAILY).awaitTermination()
     return rounded(spark.read.schema(J.ENRICHED_SCHEMA).parquet(out).select(*OUT_ENRICHED))
 
 
+def parted(bars: DataFrame, part: Column) -> DataFrame:
+    """The bars with their part, built once and stored by part."""
+    staged = new_folder(bars.sparkSession, "parts")
+    rows = bars.withColumn("part", part)
+    rows.repartition("part").write.partitionBy("part").parquet(staged)
+    return bars.sparkSession.read.schema(rows.schema).parquet(staged)
+
+
 def stage_parts(bars: DataFrame, part: Column, parts: int, inbox: str) -> None:
     """Write the messages part by part, each into `FILES` files, so that a stream of as many
     files per batch takes one part per micro-batch."""
+    rows = parted(bars, part)
     for at in range(parts):
-        M.write_folder(M.encode(bars.where(part == at).repartition(FILES)), inbox)
+        M.write_folder(M.encode(rows.where(F.col("part") == at).drop("part").repartition(FILES)), inbox)
 
 
 def arrival(cuts: tuple[str, ...]) -> Column:
@@ -293,6 +304,104 @@ def stream_warm_start_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.schema(J.ENRICHED_SCHEMA).parquet(out).select(*OUT_ENRICHED))
 
 
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four micro-batches; every fifth bar comes again a part later, within the watermark's
+    delay or after it."""
+    inbox, out = new_folder(spark, "inbox"), new_folder(spark, "distinct")
+    bars = daily(spark, sf_dir, fields=NARROW)
+    by_date = sum((F.col("trade_date") > cut).cast("int") for cut in PACE_CUTS)
+    times = F.when(F.pmod("vol", F.lit(5)) == 0, F.array(by_date, by_date + 1)).otherwise(F.array(by_date))
+    twice = bars.withColumn("_part", F.explode(times))
+    rows = parted(twice, F.col("_part")).drop("_part")
+    for at in range(len(PACE_CUTS) + 2):
+        M.write_folder(M.encode(rows.where(F.col("part") == at).drop("part").repartition(FILES)), inbox)
+    records = R.required_fields(M.decode(M.folder_stream(spark, inbox, FILES)))
+    distinct = IN.without_repeats(records, DEDUP_DELAY).select(*NARROW)
+    J.append_to_folder(distinct, out, new_folder(spark, "progress")).awaitTermination()
+    return rounded(spark.read.schema(distinct.schema).parquet(out))
+
+
+def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily bars as messages, some without a price and some no JSON."""
+    case = F.pmod("vol", F.lit(7))
+    prices = [F.when(case != i, F.col(c)).alias(c) for i, c in enumerate(("high", "low", "close"), 1)]
+    text = F.to_json(F.struct(*KEY, *prices, "vol"))
+    bars = daily(spark, sf_dir, fields=NARROW)
+    return bars.select(F.when(case == 6, F.concat(F.lit("no "), text)).otherwise(text).alias("value"))
+
+
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by what became of them, per series; unreadable ones belong to none."""
+    inbox, progress = new_folder(spark, "inbox"), new_folder(spark, "progress")
+    good, bad = new_folder(spark, "accepted"), new_folder(spark, "rejected")
+    M.write_folder(faulty_messages(spark, sf_dir).repartition(2 * FILES), inbox)
+    IN.start_intake(M.folder_stream(spark, inbox, FILES), good, bad, progress).awaitTermination()
+    accepted = spark.read.schema(M.MESSAGE_SCHEMA).parquet(good).select(*KEY, F.lit("accepted").alias("reason"))
+    rejected = M.parsed(spark.read.schema(IN.REJECT_SCHEMA).parquet(bad), keep_value=True)
+    reasons = IN.with_reason(rejected.select("value")).select(*KEY, "reason")
+    return accepted.unionByName(reasons)
+
+
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily bars replayed in date order in `REPLAY_BATCHES` micro-batches, each a new
+    start from the checkpoint."""
+    folder, out = new_folder(spark, "replay"), new_folder(spark, "replayed")
+    progress = new_folder(spark, "progress")
+    n = RP.store_replay(daily(spark, sf_dir, fields=NARROW), folder)
+    schema = RP.due_rows(spark, folder, 0, 0).schema
+
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    for _ in range(REPLAY_BATCHES):
+        RP.start_replay(
+            spark, folder, keep, progress, rows_per_batch=n // REPLAY_BATCHES + 1
+        ).awaitTermination()
+    return rounded(spark.read.schema(schema).parquet(out).select(*schema.fieldNames()))
+
+
+# -- stored history and SQL -----------------------------------------------------------
+
+
+def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history up to one date, then late and corrected rows from an earlier date on: the
+    overlap comes with volumes raised by one."""
+    folder = new_folder(spark, "history")
+    history, live = history_and_live(spark, sf_dir)
+    H.write_history(history, folder)
+    H.upsert_history(spark, live.withColumn("vol", F.col("vol") + 1), folder)
+    return rounded(H.look_up(spark, folder).select(*NARROW))
+
+
+def sql_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily(spark, sf_dir, fields=NARROW).createOrReplaceTempView("candlewick_bars")
+    SQL.register(spark)
+    frames = ", ".join(
+        f"collect_list(struct(high, low, close)) OVER (PARTITION BY ts_code ORDER BY trade_date "
+        f"ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW) AS {name}"
+        for name, rows in (("moves", 16), ("range", 9), ("turns", 10))
+    )
+    return rounded(
+        spark.sql(
+            f"""SELECT ts_code, trade_date, rsi, kdj.k, kdj.d, kdj.j, psar FROM (
+            SELECT ts_code, trade_date, rsi_of(moves, 14) AS rsi, kdj_of(range, 9) AS kdj,
+                   psar_of(turns, 0.02D, 0.2D) AS psar
+            FROM (SELECT ts_code, trade_date, {frames} FROM candlewick_bars))"""
+        )
+    )
+
+
+def sql_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily(spark, sf_dir, fields=NARROW).createOrReplaceTempView("candlewick_bars")
+    SQL.register(spark, "candlewick_bars")
+    return rounded(
+        spark.sql(
+            """SELECT ts_code, n_bars, k, d, j, psar, obv
+            FROM kdj_by_series(9) JOIN psar_by_series(0.02D, 0.2D) USING (ts_code) JOIN obv_by_series() USING (ts_code)"""
+        )
+    )
+
+
 QUERIES: dict[str, Query] = {
     # scans and projections
     "bars_daily": over_daily(lambda b: b),
@@ -354,8 +463,15 @@ QUERIES: dict[str, Query] = {
     "stream_warm_start": stream_warm_start,
     "stream_warm_start_paced": stream_warm_start_paced,
     "stream_warm_start_store": stream_warm_start_store,
+    "stream_dedup": stream_dedup,
+    "stream_rejects": stream_rejects,
+    "stream_replay": stream_replay,
+    # the same from SQL
+    "sql_indicators": sql_indicators,
+    "sql_series": sql_series,
     # extensions
     "history_lookup": history_lookup,
+    "history_upsert": history_upsert,
     "kdj_hit_rate": over_daily(lambda b: R.kdj_hit_rate(b, DAILY), *PRICES),
     "obv_close_corr": over_daily(lambda b: R.obv_close_corr(b, DAILY), *CLOSE, "vol"),
 }

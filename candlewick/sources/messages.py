@@ -20,23 +20,34 @@ def encode(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def parsed(
+    messages: DataFrame, schema: T.StructType = MESSAGE_SCHEMA, keep_value: bool = False
+) -> DataFrame:
+    """Typed rows from JSON messages (text or bytes), one each; all nulls if malformed.
+
+    NaN counts as missing. With `keep_value` the message's text goes along.
+    """
+    # Generated rows keep later filters above the parser, so each message is
+    # parsed once; a plain struct column would be parsed again by every filter.
+    text = F.col("value").cast("string")
+    kept = [text.alias("value")] if keep_value else []
+    rows = messages.select(*kept, F.inline(F.array(F.from_json(text, schema))))
+    doubles = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
+    return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
+
+
 def decode(
     messages: DataFrame,
     schema: T.StructType = MESSAGE_SCHEMA,
     watch: Observation | str | None = None,
 ) -> DataFrame:
-    """Typed rows from JSON messages (text or bytes).
+    """The rows of `parsed` that have a code.
 
-    NaN counts as missing.  Messages without a usable ``ts_code``, malformed ones
-    included, are dropped; ``watch`` counts them while the rows pass (a name on a
-    stream, whose progress then reports the counts).
+    Messages without a usable ``ts_code``, malformed ones included, are dropped; ``watch``
+    counts them while the rows pass (a name on a stream, whose progress then reports the
+    counts).
     """
-    # Generated rows keep later filters above the parser, so each message is
-    # parsed once; a plain struct column would be parsed again by every filter.
-    parsed = F.from_json(F.col("value").cast("string"), schema)
-    rows = messages.select(F.inline(F.array(parsed)))
-    doubles = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
-    rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
+    rows = parsed(messages, schema)
     if watch is not None:
         rows = rows.observe(
             watch,

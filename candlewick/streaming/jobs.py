@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from candlewick.functions.stop_and_reverse import AF_MAX, AF_STEP
+from candlewick.functions.tails import KDJ_PERIOD
 from candlewick.operators.aggregates import series_state
 from candlewick.operators.indicators import PSAR_ROWS
 from candlewick.operators.rows import WARMUP, enriched_records, indicator_rows
@@ -20,6 +21,7 @@ from candlewick.plans.shipping import ship_package
 from candlewick.sources import messages as M
 from candlewick.sources.bars import BAR_FIELDS, BAR_SCHEMA
 from candlewick.streaming.state import ROW_SCHEMA, RecentBars, tail_column
+from candlewick.streaming.state_log import BUCKETS, StateLog
 
 # The fields of an enriched record and of an indicator message.
 ENRICHED_SCHEMA = T.StructType(
@@ -135,11 +137,14 @@ TABLE_STATE = T.StructType(
 )
 
 
-def table_state(bars: DataFrame, layout: SeriesLayout = SeriesLayout()) -> DataFrame:
-    """State of every series after the given bars, in the layout's order."""
+def table_state(
+    bars: DataFrame, layout: SeriesLayout = SeriesLayout(), rows: int = PSAR_ROWS
+) -> DataFrame:
+    """State of every series after the given bars, in the layout's order. `rows` is how many
+    last bars it holds: as many as the longest look-back of the stream."""
     fields = ("trade_date", "high", "low", "close")
     bar = F.transform("tail", lambda b: F.struct(*(b.getField(c).alias(c) for c in fields)))
-    return series_state(bars, layout).select("ts_code", "n", "obv", bar.alias("tail"))
+    return series_state(bars, layout, rows).select("ts_code", "n", "obv", bar.alias("tail"))
 
 
 def start_enriched_batches(
@@ -150,62 +155,61 @@ def start_enriched_batches(
     layout: SeriesLayout = SeriesLayout(),
     warm: DataFrame | None = None,
     processing_time: str | None = None,
+    warmup: int = WARMUP,
+    period: int = KDJ_PERIOD,
+    size: int = PSAR_ROWS,
+    af_step: float = AF_STEP,
+    af_max: float = AF_MAX,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Enrich each micro-batch with the windows of the batch operators.
 
-    The last bars and totals of every series are carried from batch to batch in a
-    small table under ``state``; they enter the next batch as rows before its own.
-    All work is native and follows ``layout``, so a series that dominates a batch
-    is split.  The history of a series is the order of arrival: carried bars keep their
-    places, so how the bars fall into micro-batches changes nothing but the order within
-    each.  Records leave as they came, with fields added.  Output and state of a batch are overwritten if it runs again, and
-    two alternating state folders keep the one it reads intact.
+    The last bars and totals of every series are carried from batch to batch in a log under
+    ``state`` (see `state_log`); those of the series a batch has enter its windows as rows
+    before its own, and only theirs are written again.  All work is native and follows
+    ``layout``, so a series that dominates a batch is split.  The history of a series is the
+    order of arrival: carried bars keep their places, so how the bars fall into micro-batches
+    changes nothing but the order within each.  Records leave as they came, with fields
+    added.  A batch that runs again overwrites its output and writes the same state.
+
+    The parameters are those of `enriched_records`; a ``warm`` state has to hold as many
+    bars as the longer of ``period`` and ``size``.
     """
     spark = records.sparkSession
     layout = replace(layout, order=_ARRIVAL)
+    held = max(period, size)
+    log = StateLog(spark, state, TABLE_STATE, "ts_code", buckets)
     if warm is not None:
-        # The first batch reads it several times; a restart finds it there.
-        stored = f"{state}/warm"
-        try:
-            spark.read.schema(TABLE_STATE).parquet(stored)
-        except AnalysisException:
-            warm.select(*TABLE_STATE.fieldNames()).write.mode("overwrite").parquet(stored)
-
-    def carried(batch_id: int) -> DataFrame:
-        if batch_id > 0:
-            return spark.read.schema(TABLE_STATE).parquet(f"{state}/slot={(batch_id - 1) % 2}")
-        if warm is None:
-            return spark.createDataFrame([], TABLE_STATE)
-        return spark.read.schema(TABLE_STATE).parquet(f"{state}/warm")
+        log.start(warm)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        before = carried(batch_id).select("ts_code", "n", "obv", "tail", F.posexplode("tail")).select(
-            "ts_code",
-            "col.*",
-            "pos",
-            F.lit(0).alias("src_seq"),
-            # The oldest carried bar stands for all rows before it as well.
-            F.when(F.col("pos") == 0, F.col("n") - F.size("tail") + 1)
-            .otherwise(1)
-            .alias(N_INC),
-            F.when(F.col("pos") == 0, F.col("obv")).otherwise(0.0).alias(VOL_INC),
-        )
-        # Read by three aggregations and windows below, decoded once.
+        log.clean(batch_id)
+        # Read by the state, by three aggregations and by the windows below, decoded once.
         batch = batch.persist()
         try:
+            carried = log.before(batch_id, batch.select("ts_code"))
+            before = carried.select("ts_code", "n", "obv", "tail", F.posexplode("tail")).select(
+                "ts_code",
+                "col.*",
+                "pos",
+                F.lit(0).alias("src_seq"),
+                # The oldest carried bar stands for all rows before it as well.
+                F.when(F.col("pos") == 0, F.col("n") - F.size("tail") + 1)
+                .otherwise(1)
+                .alias(N_INC),
+                F.when(F.col("pos") == 0, F.col("obv")).otherwise(0.0).alias(VOL_INC),
+            )
             n_inc, vol_inc = increments(batch)
             undated = F.coalesce("trade_date", F.lit("")) == ""
             arrived = batch.withColumns(
                 {"src_seq": F.lit(1), "pos": undated.cast("int"), N_INC: n_inc, VOL_INC: vol_inc}
             )
             rows = before.unionByName(arrived, allowMissingColumns=True)
-            enriched = enriched_records(rows, layout).where(F.col("src_seq") == 1)
-            enriched.select(*ENRICHED_SCHEMA.fieldNames()).write.mode("overwrite").parquet(
-                f"{folder}/batch={batch_id}"
-            )
-            table_state(rows, layout.whole()).write.mode("overwrite").parquet(
-                f"{state}/slot={batch_id % 2}"
-            )
+            enriched = enriched_records(rows, layout, warmup, period, size, af_step, af_max)
+            enriched.where(F.col("src_seq") == 1).select(*ENRICHED_SCHEMA.fieldNames()).write.mode(
+                "overwrite"
+            ).parquet(f"{folder}/batch={batch_id}")
+            log.write(batch_id, table_state(rows, layout.whole(), held))
         finally:
             batch.unpersist()
 
