@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.shared import groups_of, in_arrow, stored
+from candlewick.llm.sketch import may_contain
 
 SHINGLE = 3
 BITS = 2
@@ -256,11 +257,52 @@ def near_groups(docs: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS) -
     """
     rows = stored(fingerprints(docs), "simhash")
     points = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    groups = stored(groups_of(links(points.select("fp"), bits, node_rows), "gray"), "gray-groups")
-    named = points.join(groups, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = stored(named, "gray-named")
+    named = _components(points.select("fp"), bits, node_rows)
+    named = stored(named.join(points, "fp"), "gray-named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = stored(named.join(least, "root").select("fp", "component_id"), "gray-components")
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def _components(points: DataFrame, bits: int, node_rows: int) -> DataFrame:
+    """`fp, root` for different fingerprints."""
+    groups = stored(groups_of(links(points, bits, node_rows), "gray"), "gray-groups")
+    joined = points.join(groups, F.col("fp") == F.col("node"), "left")
+    return joined.select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each(docs: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group the row of the smallest
+    doc_id (null last), then of the smallest hash of doc_id and text; columns as they are.
+
+    Rows are told apart by doc_id and text together: unrelated texts all stay, whatever
+    their ids. Rows equal in both are one group, of which the smallest, column by column,
+    stays. A null text counts as empty; an empty table gives no rows.
+
+    The search moves numbers only. Rows that surely stay are not shuffled; those that go, and
+    the few that a bitmap cannot tell from them, are.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    dk = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("dk")
+    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    prints = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), dk, text), _printed, "doc_id long, dk long, fp long")
+    rows = stored(prints, "gray-rows")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "dk")
+    points = stored(rows.groupBy("fp").agg(F.min(key).alias("least")), "gray-points")
+    named = stored(_components(points.select("fp"), bits, node_rows).join(points, "fp"), "gray-named")
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    stay = stored(named.join(least, "root").select("fp", F.col("first.dk").alias("stays")), "gray-stay")
+    by_dk = rows.join(stay, "fp").groupBy("dk").agg(F.count("*").alias("n"), F.bool_or(F.col("dk") != F.col("stays")).alias("goes"))
+    some = stored(by_dk.where("goes or n > 1").select("dk", "goes"), "gray-some")
+    keyed = docs.select(dk, F.struct(*columns).alias("row")).withColumn("some", may_contain(some.select("dk"), F.col("dk")))
+    surely = keyed.where("not some").select("row.*")
+    left = keyed.where("some").join(some.where("goes").select("dk"), "dk", "left_anti")
+    return surely.unionByName(left.groupBy("dk").agg(F.min("row").alias("row")).select("row.*"))
+
+
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text")
+        prints = [simhash(texts[i].as_buffer().to_pybytes()) for i in range(len(texts))]
+        columns = [batch.column("doc_id"), batch.column("dk"), pa.array(prints, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "dk", "fp"])

@@ -95,7 +95,8 @@ def balanced(cells: DataFrame, targets: DataFrame, most: int = MOST, rounds: int
     scale = cells.where("size > 0").groupBy("source").agg(
         (F.sum(n * size * size) / F.sum(n * size)).alias("scale")
     )
-    share = F.col("target") / (F.col("source_size") * most)
+    # A source without words takes nothing.
+    share = F.try_divide(F.col("target"), F.col("source_size") * most)
     open_ = (F.col("source_size") > 0) & (share < 1 - 1e-12) & (share > 0)
     joined = targets.join(
         scale.withColumnRenamed("source", "_s"), _is(F.col("source"), F.col("_s")), "left"
@@ -149,6 +150,8 @@ def balanced(cells: DataFrame, targets: DataFrame, most: int = MOST, rounds: int
         state = state.drop("_done")
         if not left:
             break
+    else:
+        raise RuntimeError(f"{left} sources have not settled after {rounds} rounds")
     full = F.when(share >= 1 - 1e-12, F.lit(None)).otherwise(F.lit(float("-inf")))
     return state.select(
         "source",
@@ -222,17 +225,30 @@ def rounding(rows: DataFrame, tilts: DataFrame, most: int = MOST) -> DataFrame:
     return tilts.join(limits, _is(F.col("source"), F.col("_s")), "left").drop("_s")
 
 
+ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
+
+
 def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows of `docs` with `size, source_size, target, rate, copies, taken`.
 
-    Needs `doc_id, text, source`; columns of `docs` with the added names are replaced.
+    Needs `doc_id, text, source`; columns of `docs` with the added names are replaced, and
+    all others keep their values, whatever they are called.
 
     - Null text has size 0, a null source is a source of its own and last in order.
-    - Size 0 takes nothing. With no words at all every target is 0.
+    - Size 0 takes nothing, and a source without words has target 0. With no words at all
+      every target is 0.
     - Rows that repeat doc_id and text get the same number of copies.
     - An empty table gives no rows.
     """
-    narrow = stored(measured(docs).select("source", "_size", "_draw"), "sizes")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ADDED]
+    return _copied(docs, weights, share, most).select(*own, *ADDED)
+
+
+def _copied(docs: DataFrame, weights, share: float, most: int) -> DataFrame:
+    """`row`, a struct of the columns of `docs`, and the added columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = measured(docs.select(row, "doc_id", "text", "source")).drop("doc_id", "text")
+    narrow = stored(measured(docs.select("doc_id", "text", "source")).select("source", "_size", "_draw"), "sizes")
     cells = stored(
         narrow.groupBy("source", F.col("_size").alias("size")).agg(F.count("*").alias("n")), "cells"
     )
@@ -243,8 +259,6 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = M
     plan = plan.select(
         F.col("source").alias("_s"), "source_size", "target", "scale", "tilt", "limits"
     )
-    added = ("size", "source_size", "target", "scale", "tilt", "limits", "rate", "copies", "taken")
-    rows = measured(docs.drop(*added))
     rows = rows.join(plan, _is(F.col("source"), F.col("_s")))
     rate = _rate(F.col("_size"), most)
     rows = rows.withColumn("rate", rate).withColumn("_part", F.col("rate") - F.floor("rate"))
@@ -254,13 +268,13 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = M
     )
     count = F.floor("rate") + F.coalesce(up, F.lit(False)).cast("long")
     rows = rows.withColumn("copies", F.when(F.col("_size") > 0, count).otherwise(0).cast("long"))
-    return rows.withColumn("taken", F.col("copies") * F.col("_size")).withColumnRenamed(
-        "_size", "size"
-    ).drop("_draw", "_part", "_s", "scale", "tilt", "limits")
+    rows = rows.withColumn("taken", F.col("copies") * F.col("_size"))
+    return rows.withColumnRenamed("_size", "size").select("row", *ADDED)
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row as often as it is copied, with the columns of `docs`."""
-    repeated = copies(docs, **options).where("copies > 0")
-    repeated = repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself: every row as often as it is copied, with the columns of `docs` as they
+    are; cases as for `copies`."""
+    repeated = _copied(docs, weights, share, most).where("copies > 0")
+    repeated = repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select("row.*")

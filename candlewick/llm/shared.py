@@ -23,6 +23,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it if the frame has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """`mapInArrow` with a function of this package."""
