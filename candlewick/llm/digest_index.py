@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,8 @@ class DigestIndex:
     @staticmethod
     def at(spark: SparkSession, path: str, buckets: int = 64) -> DigestIndex:
         """Open the index in a folder, or start one there."""
-        table = "digest_index_" + path.rstrip("/").rpartition("/")[2].replace("-", "_")
+        # By the whole path: folders of one last name are different indexes.
+        table = "digest_index_" + hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:32]
         if not spark.catalog.tableExists(table):
             spark.sql(
                 f"CREATE TABLE {table} ({ENTRY}) USING parquet CLUSTERED BY (text_sha256) "

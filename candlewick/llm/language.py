@@ -26,9 +26,10 @@ PER_LANGUAGE = 800
 LANGUAGES = 256
 # Every fifth of them sets temperature and threshold instead.
 HELD_BACK = 5
-# Accepted predictions may be wrong this often; more sure than this is always accepted.
+# Accepted predictions may be wrong this often, and so many right ones may be rejected.
 ERROR = 0.001
-LEAST_SURE = 0.5
+SPARED = 0.001
+SHORT_OF = 0.8
 
 _LETTER = re.compile(r"[^\W\d_]")
 # Bytes of words stay; whatever else ASCII has parts them.
@@ -89,15 +90,42 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    usual: Usual
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and calibrated probability; `und` and 0 without a letter."""
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, its calibrated probability, and whether it is accepted; `und`, 0 and not
+        without a letter. Accepted is what is sure enough among the learned languages, and
+        no less like its own than texts of that language are: a text in none of them may
+        well be most like one."""
         if not has_letter(text) or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         at, share = subwords(text)
-        p = _softmax((share @ self.table[at] + self.bias) / self.temperature)
+        scores = share @ self.table[at] + self.bias
+        p = _softmax(scores / self.temperature)
         best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        odd = self.usual.oddness(best, scores[best], share.min(initial=1.0))
+        return self.languages[best], float(p[best]), bool(p[best] >= self.threshold and odd <= self.usual.most)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and calibrated probability; `und` and 0 without a letter."""
+        return self.judge(text)[:2]
+
+
+@dataclass(frozen=True)
+class Usual:
+    """What texts of each language score for it. A score is a mean over a text's subwords, so
+    it varies the more the fewer there are; `between` and `within` are the two parts of its
+    variance. `most` is the oddness up to which texts are accepted."""
+
+    mean: np.ndarray
+    between: np.ndarray
+    within: np.ndarray
+    most: float
+
+    def oddness(self, language: int | np.ndarray, score: float | np.ndarray, rarest: float | np.ndarray):
+        """How many deviations a score lies below its language's mean. The share of the rarest
+        subword tells how many there are."""
+        return (self.mean[language] - score) / np.sqrt(self.between[language] + self.within[language] * rarest)
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -109,7 +137,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     """Stochastic gradient descent over (language, buckets, shares), in the given order."""
     languages = tuple(sorted({r[0] for r in rows}))
     if not languages:
-        return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        none = np.zeros(0)
+        return Model((), np.zeros((BUCKETS, 0)), none, 1.0, 0.0, Usual(none, none, none, 0.0))
     index = {lang: i for i, lang in enumerate(languages)}
     target = np.array([index[r[0]] for r in rows])
     draw = np.random.default_rng(SEED)
@@ -135,26 +164,56 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     table = embed @ weight
     back = [i for i in range(len(rows)) if i not in set(train)] or list(range(len(rows)))
     scores = np.array([rows[i][2] @ table[rows[i][1]] + bias for i in back])
+    rarest = np.array([rows[i][2].min(initial=1.0) for i in back])
     temperature, threshold = _calibrated(scores, target[back])
-    return Model(languages, table, bias, temperature, threshold)
+    return Model(languages, table, bias, temperature, threshold, _usual(scores, rarest, target[back]))
 
 
 def _calibrated(scores: np.ndarray, target: np.ndarray) -> tuple[float, float]:
     """The temperature of the least log loss, and the rejection threshold: the lowest
-    probability from which on predictions are wrong no more often than `ERROR`, but not so
-    high that more than one in a thousand right ones were rejected."""
-    rows = np.arange(len(target))
-    choices = np.geomspace(0.1, 10, 61)
-    losses = [-np.log(_softmax(scores / t)[rows, target] + 1e-12).mean() for t in choices]
+    probability from which on predictions are wrong no more often than `ERROR`, but at least
+    `SHORT_OF` what all right ones but `SPARED` have. So many rows cannot show an error rarer
+    than one in their number, so the loss counts each as that much wrong."""
+    rows, n = np.arange(len(target)), scores.shape[1]
+    choices = np.geomspace(0.01, 10, 121)
+    doubt = 1 / (len(target) + 2)
+    wanted = np.full(scores.shape, doubt / max(1, n - 1))
+    wanted[rows, target] = 1 - doubt
+    losses = [-(wanted * np.log(_softmax(scores / t) + 1e-12)).sum(axis=1).mean() for t in choices]
     temperature = float(choices[int(np.argmin(losses))])
     p = _softmax(scores / temperature)
     sure, right = p.max(axis=1), p.argmax(axis=1) == target
     order = np.argsort(-sure, kind="stable")
     wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
     fine = np.flatnonzero(wrong <= ERROR)
-    lowest = sure[order[fine[-1]]] if len(fine) else 1.0
-    spared = float(np.quantile(sure[right], 0.001)) if right.any() else 1.0
-    return temperature, float(min(lowest, spared, LEAST_SURE))
+    if len(fine) == 0:
+        return temperature, 2.0  # nothing is sure enough
+    lowest = 0.0 if fine[-1] == len(order) - 1 else float(sure[order[fine[-1]]])
+    return temperature, max(lowest, SHORT_OF * float(np.quantile(sure[right], SPARED)))
+
+
+def _usual(scores: np.ndarray, rarest: np.ndarray, target: np.ndarray) -> Usual:
+    """Mean and variance of own scores from rows held back that are told right, and the
+    oddness that spares all but `SPARED` of them, stretched by a quarter for rows unlike any."""
+    right = scores.argmax(axis=1) == target
+    scores, rarest, target = scores[right], rarest[right], target[right]
+    own = scores[np.arange(len(target)), target]
+    n = scores.shape[1]
+    mean, between, within = np.zeros(n), np.ones(n), np.ones(n)
+    for k in range(n):
+        mine = target == k
+        if not mine.any():
+            continue
+        # Long texts tell the mean best.
+        weights = 1 / np.maximum(rarest[mine], 1e-6)
+        mean[k] = np.average(own[mine], weights=weights)
+        apart = (own[mine] - mean[k]) ** 2
+        # Mean square deviation as a + b * rarest, neither below nothing.
+        short = rarest[mine] > np.median(rarest[mine])
+        within[k] = max(1e-9, (apart[short].mean() if short.any() else apart.mean()) / max(1e-6, rarest[mine][short].mean() if short.any() else 1.0))
+        between[k] = max(1e-9, apart[~short].mean() if (~short).any() else apart.mean())
+    odd = Usual(mean, between, within, 0.0).oddness(target, own, rarest)
+    return Usual(mean, between, within, 1.25 * float(np.quantile(odd, 1 - SPARED)) if len(odd) else 0.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -200,14 +259,13 @@ def _predictor(model: Model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            found = [model.predict(texts[i].as_py()) for i in range(len(texts))]
-            accepted = [lang != UNKNOWN and score >= model.threshold for lang, score in found]
+            found = [model.judge(texts[i].as_py()) for i in range(len(texts))]
             rest = [batch.column(c) for c in batch.schema.names if c != "text"]
             names = [c for c in batch.schema.names if c != "text"]
             arrays = [
                 pa.array([f[0] for f in found], pa.string()),
                 pa.array([f[1] for f in found], pa.float64()),
-                pa.array(accepted, pa.bool_()),
+                pa.array([f[2] for f in found], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(
                 [*rest, *arrays], names=[*names, "lang_pred", "score", "accepted"]
@@ -231,12 +289,11 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 def accepted_only(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose language is accepted, columns unchanged."""
     ship_package(docs.sparkSession)
-    predict = model.predict
+    judge = model.judge
 
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
         # One text at a time is a Python string.
-        found = (predict(texts[i].as_py()) for i in range(len(texts)))
-        return pa.array([lang != UNKNOWN and score >= model.threshold for lang, score in found], pa.bool_())
+        return pa.array([judge(texts[i].as_py())[2] for i in range(len(texts))], pa.bool_())
 
     return docs.where(accepted("text"))

@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +45,8 @@ LEAST_LETTERS = 8
 LEAST_SCORE = 0.5
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.\-][A-Za-z0-9_$]+)*"
-_TARGET = re.compile(rf"({_NAME})[\"']?\]?[ \t]*(:=|=>|\+=|=(?![=~>])|:(?![:/]))[ \t]*", re.ASCII)
+_SIGN = re.compile(r"(:=|=>|\+=|=(?![=~>])|:(?![:/]))[ \t]*")
+_NAME_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
 _TERM = re.compile(
     rf"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$\{{({_NAME})\}}|({_NAME})|([A-Za-z0-9+/_=][A-Za-z0-9+/_.=-]*)",
     re.ASCII,
@@ -63,60 +66,152 @@ def name_score(name: str) -> float:
     return score * (0.4 if any(w in HARMLESS for w in words) else 1.0)
 
 
-def literal_score(value: str) -> float:
+class Value:
+    """What a name was given: the literals that went into it, and how they look together.
+
+    Holds its parts instead of their text, and letter counts instead of letters, so that a
+    value made of others costs no more than a literal, however often it is put together.
+    """
+
+    __slots__ = ("span", "parts", "length", "letters", "harmless", "told")
+
+    def __init__(self, span: Span | None = None, text: str = "") -> None:
+        self.span = span
+        self.parts: list[Value] = []
+        self.length = float(len(text))
+        self.letters: dict[str, float] = dict(Counter(text))
+        self.harmless = bool(PLACEHOLDER.search(text)) or any(c.isspace() for c in text)
+        self.told = False
+
+    def put(self, other: Value, span_only: bool = False) -> None:
+        """Put another value behind; `span_only` if its text is in this one's already."""
+        self.parts.append(other)
+        if span_only:
+            return
+        self.length += other.length
+        self.harmless |= other.harmless
+        for letter, n in other.letters.items():
+            self.letters[letter] = self.letters.get(letter, 0.0) + n
+        if self.length > _LONG:
+            # Shares are what counts from here on.
+            self.letters = {c: n / 2 for c, n in self.letters.items()}
+            self.length /= 2
+
+    def spans(self) -> Iterator[Span]:
+        """Spans of all literals in it that have not been told before."""
+        left = [self]
+        while left:
+            one = left.pop()
+            if not one.told:
+                one.told = True
+                if one.span is not None:
+                    yield one.span
+                left += one.parts
+
+
+_LONG = 1e9
+
+
+def literal_score(value: Value | str) -> float:
     """How random a literal looks, 0 to 1: entropy per letter, and kinds of letters."""
-    if len(value) < LEAST_LETTERS or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
+    if isinstance(value, str):
+        value = Value(None, value)
+    if value.length < LEAST_LETTERS or value.harmless:
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit))
-    kinds += any(not c.isalnum() for c in value)
+    shares = [n / value.length for n in value.letters.values()]
+    entropy = -sum(p * math.log2(p) for p in shares if p > 0)
+    kinds = sum(any(f(c) for c in value.letters) for f in (str.islower, str.isupper, str.isdigit))
+    kinds += any(not c.isalnum() for c in value.letters)
     return min(1.0, entropy / 3.5) * (1.0 if kinds > 1 else 0.5)
 
 
+def _name_before(text: str, low: int, end: int) -> str | None:
+    """The name that ends right before `end`, after blanks, a bracket and a quote; not before `low`."""
+    while end > low and text[end - 1] in " \t":
+        end -= 1
+    if end > low and text[end - 1] == "]":
+        end -= 1
+    if end > low and text[end - 1] in "\"'":
+        end -= 1
+    start = end
+    while start > low and text[start - 1] in _NAME_LETTERS:
+        start -= 1
+    # Parts between dots or dashes: all of them up to an empty one, from the first that
+    # begins like a name.
+    parts: list[str] = []
+    for part in reversed(re.split(r"[.\-]", text[start:end])):
+        if not part:
+            break
+        parts.append(part)
+    while parts:
+        first = parts[-1].lstrip("0123456789")
+        if first:
+            at = sum(map(len, parts)) + len(parts) - 1 - (len(parts[-1]) - len(first))
+            return text[end - at : end]
+        parts.pop()
+    return None
+
+
+def _target(text: str, at: int) -> tuple[str, str, int] | None:
+    """The next name that is given something: name, sign, and where the value begins. Looks
+    for signs and then backwards, so that a long run of letters is read once."""
+    low = at
+    while (sign := _SIGN.search(text, at)) is not None:
+        name = _name_before(text, low, sign.start())
+        if name is not None:
+            return name, sign[1], sign.end()
+        at = sign.start() + 1
+        low = max(low, sign.start())
+    return None
+
+
 def named_literals(text: str) -> set[Span]:
     """Spans of literals that reach a sensitive name, directly or through constants.
 
     Statements are read in order; `constants` holds for each name the value it was last
-    given and the literals that value came from.
+    given.
     """
-    constants: dict[str, tuple[str, tuple[Span, ...]]] = {}
+    constants: dict[str, Value] = {}
     found: set[Span] = set()
     at = 0
-    while (target := _TARGET.search(text, at)) is not None:
-        name, sign = target[1], target[2]
-        end, value, spans, terms = target.end(), "", (), 0
+    while (target := _target(text, at)) is not None:
+        name, sign, begins = target
+        end, value, terms = begins, Value(), 0
         while (term := _TERM.match(text, end)) is not None:
             which = term.lastindex
             if which is None:
                 break
             if which <= 3:
-                value += term[which]
                 if term[which]:
-                    spans += (term.span(which),)
+                    value.put(Value(term.span(which), term[which]))
                 for inner in _INSERT.findall(term[which]):
-                    spans += constants.get(inner, ("", ()))[1]
+                    if inner in constants:
+                        value.put(constants[inner], span_only=True)
             elif term[which] in constants:
-                known = constants[term[which]]
-                value, spans = value + known[0], spans + known[1]
+                value.put(constants[term[which]])
             elif which != 4 and not terms:
                 # A bare value, as in configuration files.
-                value, spans = term[which], (term.span(which),)
+                value = Value(term.span(which), term[which])
             end, terms = term.end(), terms + 1
             joined = _JOIN.match(text, end)
             if joined is None:
                 break
             end = joined.end()
         if not terms:
-            at = target.end()
+            at = begins
             continue
         if sign == "+=" and name in constants:
-            value, spans = constants[name][0] + value, constants[name][1] + spans
-        constants[name] = (value, spans)
-        if spans and name_score(name) * literal_score(value) >= LEAST_SCORE:
-            found.update(spans)
+            both = Value()
+            both.put(constants[name])
+            both.put(value)
+            value = both
+        constants[name] = value
+        if (value.parts or value.span) and name_score(name) * literal_score(value) >= LEAST_SCORE:
+            found.update(value.spans())
         # The value may itself be a target, as in `a = b = "..."`.
-        at = target.end() if terms == 1 and _TARGET.match(text, target.end()) else max(end, target.end())
+        following = _SIGN.search(text, begins, min(len(text), end + 3)) if terms == 1 else None
+        chained = following is not None and _name_before(text, begins, following.start()) is not None and following.start() >= end - 1
+        at = begins if chained else max(end, begins)
     return found
 
 
@@ -138,8 +233,11 @@ def scan(text: str) -> tuple[int, int, int, int, str, str]:
     base = base_spans(text)
     added = []
     if ":" in text or "=" in text:
+        starts = [s for s, _, _ in base]
+        reach = list(accumulate((e for _, _, e in base), max))
         for start, end in named_literals(text):
-            if not any(s <= start and end <= e for s, _, e in base):
+            before = bisect_right(starts, start)
+            if not before or reach[before - 1] < end:
                 added.append((start, 3, end))
     counts = Counter(kind for _, kind, _ in base)
     digest = hashlib.sha256(_joined(base).encode()).hexdigest()
