@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -12,8 +13,11 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from candlewick.queries import QUERIES  # noqa: E402
+from candlewick.streaming.pace import PACE_SCHEMA, PaceLog  # noqa: E402
 
 WARM_UP = "enriched_records"
+# How often each query runs; the median counts.
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 
 def main() -> None:
@@ -38,8 +42,26 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return round(time.perf_counter() - began, 3)
 
+    def paced(rows: list[tuple]) -> dict[str, float]:
+        """Rate and slowest batch of a stream, from its progress reports."""
+        found = [dict(zip(PACE_SCHEMA.fieldNames(), row, strict=True)) for row in rows]
+        busy = [r for r in found if r["n_rows"]]
+        took = sum(r["seconds"] for r in busy)
+        return {
+            "rows_per_second": round(sum(r["n_rows"] for r in busy) / took, 1) if took else 0.0,
+            "slowest_batch_sec": max((r["seconds"] for r in busy), default=0.0),
+            "batches": len(busy),
+        }
+
+    log = PaceLog(spark, "")
+    spark.streams.addListener(log)
     run(WARM_UP)
-    seconds = {name: run(name) for name in names}
+    seconds, streams = {}, {}
+    for name in names:
+        seconds[name] = statistics.median(run(name) for _ in range(RUNS))
+        if rows := log.take():
+            streams[name] = paced(rows)
+    spark.streams.removeListener(log)
     print(
         json.dumps(
             {
@@ -47,6 +69,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "streams": streams,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
             }

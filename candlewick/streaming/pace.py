@@ -65,10 +65,15 @@ class PaceLog(StreamingQueryListener):
         with self._lock:
             self._rows.append(row)
 
-    def flush(self) -> int:
-        """Append what has come in; returns how many rows. Call it now and then, and last."""
+    def take(self) -> list[tuple]:
+        """What has come in since the last time, without storing it."""
         with self._lock:
             rows, self._rows = self._rows, []
+        return rows
+
+    def flush(self) -> int:
+        """Append what has come in; returns how many rows. Call it now and then, and last."""
+        rows = self.take()
         if rows:
             self._spark.createDataFrame(rows, PACE_SCHEMA).coalesce(1).write.mode("append").parquet(self._folder)
         return len(rows)
