@@ -174,6 +174,25 @@ def test_edit_similarity_is_exact():
         assert lines.similar(a, b) == (distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
+def test_word_alignment_never_says_too_few():
+    draw = np.random.default_rng(5)
+    shown = 0
+    for _ in range(600):
+        a = [f"w{i}" for i in draw.integers(0, 60, draw.integers(1, 60))]
+        b = list(a)
+        for _ in range(draw.integers(0, 4)):
+            at, n = int(draw.integers(0, len(b) + 1)), int(draw.integers(0, 12))
+            b[at : at + int(draw.integers(0, 8))] = [f"v{i}" for i in draw.integers(0, 99, n)]
+        if not b:
+            continue
+        exact = distance(" ".join(a), " ".join(b))
+        for most in (exact - 1, exact, exact + 5, 2 * exact):
+            if lines._surely(a, b, most):
+                assert exact <= most
+                shown += 1
+    assert shown > 300
+
+
 def line_places(rows):
     """(no id, doc_id, place, normalised line) of every line with words, in order."""
     order = sorted({(r.doc_id is None, r.doc_id or 0, r.text) for r in rows if r.text is not None})
@@ -193,7 +212,8 @@ def line_codes(texts):
 
 
 def may_meet(a, b, codes_a, codes_b):
-    return len(codes_a & codes_b) >= (1 if max(len(a.split()), len(b.split())) < lines.FEW_WORDS else 2)
+    alike = len({*a.split()} & {*b.split()}) >= lines.SHARED * max(len({*a.split()}), len({*b.split()}))
+    return alike and len(codes_a & codes_b) >= (1 if max(len(a.split()), len(b.split())) < lines.FEW_WORDS else 2)
 
 
 def grouped(texts, pairs):
