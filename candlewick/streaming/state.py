@@ -51,10 +51,9 @@ class RecentBars(StatefulProcessor):
     ) -> Iterator[pd.DataFrame]:
         n, obv, *past = self._state.get() if self._state.exists() else (0, 0.0, [], [], [])
         bars = pd.concat(list(rows))
-        bars = bars.assign(trade_date=bars["trade_date"].fillna(""))
-        undated = bars["trade_date"] == ""
-        bars = bars.assign(_undated=undated).sort_values(
-            ["_undated", "trade_date"], kind="stable", ignore_index=True
+        dates = bars["trade_date"].fillna("")
+        bars = bars.assign(_undated=dates == "", _date=dates).sort_values(
+            ["_undated", "_date"], kind="stable", ignore_index=True
         )
         added: dict[str, Any] = {
             "ts_code": key[0],

@@ -303,3 +303,11 @@ def test_golden_through_the_log(spark, tmp_path):
         records(spark, tmp_path / "in", 1), str(tmp_path / "out"), str(tmp_path / "s"), str(tmp_path / "p"), DAILY, buckets=2
     ).awaitTermination()
     assert_golden(enriched_rows(spark, tmp_path / "out"))
+
+
+def test_undated_records_keep_their_null(spark, tmp_path):
+    put(spark, [dict(r, trade_date=None) if i in (3, 7) else r for i, r in enumerate(golden_rows())], tmp_path / "in")
+    rows = J.enriched_stream(records(spark, tmp_path / "in"))
+    J.append_to_folder(rows, str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
+    got = spark.read.schema(J.ENRICHED_SCHEMA).parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 20 and sum(r.trade_date is None for r in got) == 2 and "" not in {r.trade_date for r in got}
