@@ -286,6 +286,47 @@ def test_fuzzy_lines_find_nine_of_ten_similar_pairs(real):
     assert sum(at[texts[i]] == at[texts[j]] for i, j in exact) >= 0.9 * len(exact)
 
 
+def short_rows():
+    """Lines of few words, of any length, and what is up to about 0.2 of edits from them."""
+    draw = np.random.default_rng(4)
+    rows = ["section one", "section two", "sections one", "a", "b", "ab", "abcd", "abce", "abcde", "abcdef"]
+    rows += ["a b c d e", "a b c d", "日本語 テキスト", "日本語 テキスド"]
+    for n in (*range(4, 40), 50, 52, 62, 63, 64, 65, 66, 80, 81, 130, 400):
+        for _ in range(3):
+            base = "".join(draw.choice(list("abcdefgh"), n))
+            for at in draw.choice(np.arange(1, n - 1), min(3, n - 2), replace=False):
+                base = base[:at] + " " + base[at + 1 :]
+            rows.append(base)
+            for edits in (n // 10, n // 5, n // 5 + 1, n // 4):
+                other = list(base)
+                for _ in range(edits):
+                    at = int(draw.integers(0, len(other)))
+                    other[at : at + int(draw.integers(0, 2))] = str(draw.choice(list("abcdefgh "))) * int(draw.integers(0, 2))
+                rows.append("".join(other))
+    return [t for t in dict.fromkeys(map(lines.normal, rows)) if t]
+
+
+def test_similar_lines_of_few_words_are_all_found(spark):
+    """Against all pairs of which one line at least has fewer than five words."""
+    texts = short_rows()
+    short = [len(t.split()) < lines.LEAST_WORDS for t in texts]
+    pairs = [
+        (i, j)
+        for i in range(len(texts))
+        for j in range(i)
+        if (short[i] or short[j]) and lines.similar(texts[i], texts[j])
+    ]
+    codes = line_codes(texts)
+    long = [(i, j) for i in range(len(texts)) for j in range(i) if not (short[i] or short[j]) and may_meet(texts[i], texts[j], codes[i], codes[j])]
+    at = grouped(texts, pairs + [p for p in long if lines.similar(texts[p[0]], texts[p[1]])])
+    assert len(pairs) > 300 and any(not (short[i] and short[j]) for i, j in pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    firsts = {at[t]: i for i, t in reversed(list(enumerate(texts)))}
+    for tile in (50, lines.TILE):
+        done = lines.deduplicated(docs.repartition(3), tile=tile).collect()
+        assert {r.doc_id for r in done if not r.n_removed} == set(firsts.values())
+
+
 def test_one_word_changed_is_found_at_any_length():
     draw = np.random.default_rng(8)
     for n in (5, 6, 8, 12, 20, 21, 22, 43, 90, 300, 2000):
