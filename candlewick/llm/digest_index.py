@@ -45,12 +45,15 @@ class DigestIndex:
     def append(self, groups: DataFrame) -> None:
         """Add the groups whose digest is not there yet (sort-merge anti-join).
 
-        Each bucket is written by one task, so an append adds one file to a bucket.
+        Each bucket is written by one task, however many a shuffle has by the session's
+        settings, so an append adds one file to a bucket.
         """
         new = groups.hint("merge").join(self.entries(), "text_sha256", "left_anti")
         new = new.select("text_sha256", "keep_id", "n_chars", "group_size")
+        # As Spark numbers the buckets.
+        bucket = F.pmod(F.hash("text_sha256"), F.lit(self.buckets))
         (
-            new.repartition(self.buckets, "text_sha256")
+            new.repartitionById(self.buckets, bucket)
             .sortWithinPartitions("text_sha256")
             .write.mode("append")
             .format("parquet")
