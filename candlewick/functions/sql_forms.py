@@ -23,46 +23,49 @@ from candlewick.functions.stop_and_reverse import AF_MAX, AF_STEP
 from candlewick.functions.tails import KD_START, KDJ_PERIOD
 
 _BARS = "ARRAY<STRUCT<high: DOUBLE, low: DOUBLE, close: DOUBLE>>"
-_SAR = "STRUCT<p: DOUBLE, t: INT, ep: DOUBLE, af: DOUBLE>"
 _KD = "STRUCT<k: DOUBLE, d: DOUBLE>"
 
+# A subquery in a function is put in wherever its columns are used, and so computed as often.
+# What is used twice is therefore a lambda's variable.
+
 # Range positions of every frame of `period` bars; null where a high or low of it is missing.
 _POSITIONS = """
 transform(sequence(period, size(bars)), last -> transform(array(slice(bars, last - period + 1, period)), f ->
-  CASE WHEN exists(f, b -> b.high IS NULL OR b.low IS NULL) OR f[period - 1].close IS NULL THEN NULL
-       WHEN array_max(f.high) = array_min(f.low) THEN 50D
-       ELSE (f[period - 1].close - array_min(f.low)) / (array_max(f.high) - array_min(f.low)) * 100D END)[0])"""
+  CASE WHEN exists(f.high, x -> x IS NULL) OR exists(f.low, x -> x IS NULL) THEN NULL
+       ELSE transform(array(struct(f[period - 1].close AS close, array_max(f.high) AS high, array_min(f.low) AS low)), r ->
+         CASE WHEN r.close IS NULL THEN NULL WHEN r.high = r.low THEN 50D
+              ELSE (r.close - r.low) / (r.high - r.low) * 100D END)[0] END)[0])"""
 
 SCALARS = {
     "rsi_of": f"""(bars {_BARS}, period INT DEFAULT 14) RETURNS DOUBLE
 COMMENT 'RSI after the last bar; the first of a series has no change. Needs period + 2 bars, or all of a shorter series.'
-RETURN (
-  SELECT 100D - 100D / (1D + try_divide(up, down)) FROM (
-    SELECT aggregate(moves, 0D, (a, m) -> a + CASE WHEN m > 0 THEN m ELSE 0D END) AS up,
-           aggregate(moves, 0D, (a, m) -> a + CASE WHEN m < 0 THEN -m ELSE 0D END) AS down
-    FROM (SELECT transform(sequence(greatest(size(bars) - period, 1), size(bars)),
-                           i -> CASE WHEN i > 1 THEN bars[i - 1].close - bars[i - 2].close END) AS moves)))""",
+RETURN transform(
+  array(zip_with(slice(bars.close, greatest(size(bars) - period, 2), period + 1),
+                 slice(bars.close, greatest(size(bars) - period, 2) - 1, period + 1), (x, y) -> x - y)),
+  moves -> 100D - 100D / (1D + try_divide(aggregate(moves, 0D, (a, m) -> a + greatest(m, 0D)),
+                                          aggregate(moves, 0D, (a, m) -> a - least(m, 0D)))))[0]""",
     "kdj_of": f"""(bars {_BARS}, period INT DEFAULT {KDJ_PERIOD}) RETURNS STRUCT<k: DOUBLE, d: DOUBLE, j: DOUBLE>
 COMMENT 'K, D and J after the last bar, smoothed over every frame of period bars in the array.'
-RETURN (
-  SELECT CASE WHEN size(bars) >= period THEN named_struct('k', kd.k, 'd', kd.d, 'j', 3D * kd.k - 2D * kd.d) END
-  FROM (
-    SELECT aggregate(positions, CAST(named_struct('k', {KD_START}D, 'd', {KD_START}D) AS {_KD}), (a, x) ->
-             CAST(named_struct('k', 2D / 3D * a.k + 1D / 3D * x,
-                               'd', 2D / 3D * a.d + 1D / 3D * (2D / 3D * a.k + 1D / 3D * x)) AS {_KD})) AS kd
-    FROM (SELECT CASE WHEN size(bars) >= period THEN {_POSITIONS} END AS positions)))""",
+RETURN CASE WHEN size(bars) >= period THEN
+  aggregate({_POSITIONS}, CAST(named_struct('k', {KD_START}D, 'd', {KD_START}D) AS {_KD}), (a, x) ->
+    CAST(named_struct('k', 2D / 3D * a.k + 1D / 3D * x,
+                      'd', 2D / 3D * a.d + 1D / 3D * (2D / 3D * a.k + 1D / 3D * x)) AS {_KD}),
+    kd -> named_struct('k', kd.k, 'd', kd.d, 'j', 3D * kd.k - 2D * kd.d)) END""",
     "psar_of": f"""(bars {_BARS}, af_step DOUBLE DEFAULT {AF_STEP}D, af_max DOUBLE DEFAULT {AF_MAX}D) RETURNS DOUBLE
 COMMENT 'Stop-and-reverse level after the last bar, started at the first.'
 RETURN CASE WHEN size(bars) > 0 AND NOT exists(bars, b -> b.high IS NULL OR b.low IS NULL) THEN
   aggregate(slice(bars, 2, size(bars)),
-    CAST(named_struct('p', bars[0].close, 't', 1, 'ep', bars[0].high, 'af', af_step) AS {_SAR}), (s, b) ->
-    CAST(CASE
-      WHEN s.t = 1 AND b.low < s.p + (s.ep - s.p) * s.af THEN named_struct('p', s.ep, 't', -1, 'ep', b.low, 'af', af_step)
-      WHEN s.t = -1 AND b.high > s.p + (s.ep - s.p) * s.af THEN named_struct('p', s.ep, 't', 1, 'ep', b.high, 'af', af_step)
-      WHEN s.t = 1 AND b.high > s.ep OR s.t = -1 AND b.low < s.ep THEN
-        named_struct('p', s.p + (s.ep - s.p) * s.af, 't', s.t, 'ep', CASE WHEN s.t = 1 THEN b.high ELSE b.low END,
-                     'af', least(s.af + af_step, af_max))
-      ELSE named_struct('p', s.p + (s.ep - s.p) * s.af, 't', s.t, 'ep', s.ep, 'af', s.af) END AS {_SAR}),
+    named_struct('p', bars[0].close, 't', 1, 'ep', bars[0].high, 'af', af_step), (s, b) ->
+    CASE
+      WHEN s.t = 1 THEN CASE
+        WHEN b.low < s.p + (s.ep - s.p) * s.af THEN named_struct('p', s.ep, 't', -1, 'ep', b.low, 'af', af_step)
+        WHEN b.high > s.ep THEN
+          named_struct('p', s.p + (s.ep - s.p) * s.af, 't', 1, 'ep', b.high, 'af', least(s.af + af_step, af_max))
+        ELSE named_struct('p', s.p + (s.ep - s.p) * s.af, 't', 1, 'ep', s.ep, 'af', s.af) END
+      WHEN b.high > s.p + (s.ep - s.p) * s.af THEN named_struct('p', s.ep, 't', 1, 'ep', b.high, 'af', af_step)
+      WHEN b.low < s.ep THEN
+        named_struct('p', s.p + (s.ep - s.p) * s.af, 't', -1, 'ep', b.low, 'af', least(s.af + af_step, af_max))
+      ELSE named_struct('p', s.p + (s.ep - s.p) * s.af, 't', -1, 'ep', s.ep, 'af', s.af) END,
     s -> s.p) END""",
     "obv_of": """(volumes ARRAY<DOUBLE>) RETURNS DOUBLE
 COMMENT 'Cumulative volume; a missing one counts as 0.'
