@@ -81,8 +81,11 @@ def folder_stream(
     return reader.load(folder)
 
 
-def write_folder(messages: DataFrame, folder: str, mode: str = "append") -> None:
-    messages.write.mode(mode).text(folder)
+def write_folder(
+    messages: DataFrame, folder: str, mode: str = "append", compression: str = "none"
+) -> None:
+    """Text files, one a task. A packed file (`gzip`) is read by one task, so each should be small."""
+    messages.write.mode(mode).text(folder, compression=compression)
 
 
 def write_topic(messages: DataFrame, servers: str, topic: str = INDICATOR_TOPIC) -> None:
