@@ -327,6 +327,35 @@ def test_similar_lines_of_few_words_are_all_found(spark):
         assert {r.doc_id for r in done if not r.n_removed} == set(firsts.values())
 
 
+def test_codes_of_unlike_lines_stay_in_proportion(spark, monkeypatch):
+    """With five times the lines, what may meet short ones grows about as much, and few codes
+    of lines that are like no short one come along."""
+    kept = {}
+
+    def counted(df, label):
+        kept[label] = stored(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(lines, "stored", counted)
+    draw, made = np.random.default_rng(5), []
+    syllables = ["".join(draw.choice(list("abcdefghijklmnop"), 2)) for _ in range(30)]
+
+    def line(words):
+        return " ".join("".join(draw.choice(syllables, int(draw.integers(1, 6)))) for _ in range(words))
+
+    for n in (200, 1000):
+        # The same lengths of short lines at both sizes.
+        texts = [line(3)[:k].strip() for k in range(20, 40) for _ in range(n // 50)]
+        texts += [line(5) for _ in range(5 * n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        lines.deduplicated(docs)
+        both = kept["short-pairs"]
+        made.append((both.where("short").count(), both.where("not short").count()))
+    (short, partners), (more_short, more_partners) = made
+    assert short and more_short <= 7 * short
+    assert partners <= 1000 and more_partners <= 5000
+
+
 def test_one_word_changed_is_found_at_any_length():
     draw = np.random.default_rng(8)
     for n in (5, 6, 8, 12, 20, 21, 22, 43, 90, 300, 2000):
