@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,8 @@ LENGTH = 2048
 # Hashed document vectors, their projection, and the grid of the curve.
 BUCKETS, DIMENSIONS, GRID_BITS = 256, 3, 10
 SEED = 20240917
-# Chunks of text whose ids are remembered by a worker, until there are so many.
-REMEMBERED = 500_000
+# Chunks of text and words whose ids a worker remembers: so many new ones, and as many of before.
+REMEMBERED = 400_000
 
 # Texts of these letters only are split by white space without changing any id: they are
 # their own composed form, lower-case one letter at a time, and hold no odd spaces.
@@ -40,6 +41,11 @@ _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
+# This split takes runs of letters and of marks whole, so most chunks need no search.
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = ".,;:!?|"
+
+
 class Ids:
     """Token ids of whole texts as `tokenizers` gives them, with remembered chunks."""
 
@@ -49,34 +55,52 @@ class Ids:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.kind).char
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         split = _split_pattern(spec)
         self.split = split and regex.compile(split)
+        self.runs = split == _RUNS
 
     def _encoded(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.kind).tobytes()
 
+    def _kept(self, chunk: str, ids: bytes) -> bytes:
+        # What is met again moves on from the chunks of before; the rest goes with them.
+        if len(self.known) >= REMEMBERED:
+            self.before = dict(self.known)
+            self.known.clear()
+        self.known[chunk] = ids
+        return ids
+
     def _word(self, word: str) -> bytes:
         """Ids of one split word: only the vocabulary model is left to apply."""
-        ids = self.words.get(word)
+        # A word that may be split as a chunk is kept beside the chunk.
+        key = word if self.runs else " " + word
+        ids = self.known.get(key)
         if ids is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            found = [token.id for token in self.model.tokenize(letters)]
-            ids = self.words[word] = np.array(found, self.kind).tobytes()
+            ids = self.before.get(key)
+            if ids is None:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = array(self.code, [token.id for token in self.model.tokenize(letters)]).tobytes()
+            self._kept(key, ids)
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
         """A chunk is split as the tokenizer does, and its words are remembered as well."""
-        ids = b"".join(map(self._word, self.split.findall(chunk)))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[chunk] = ids
-        return ids
+        if self.runs and chunk.isalpha():
+            return self._word(chunk)
+        ids = self.before.get(chunk)
+        if ids is None:
+            letters = chunk.rstrip(_MARKS) if self.runs else ""
+            if letters.isalpha():
+                words = [letters, chunk[len(letters) :]]
+            else:
+                words = self.split.findall(chunk)
+            ids = b"".join(map(self._word, words))
+        return self._kept(chunk, ids)
 
     def of(self, text: str) -> np.ndarray:
         if (

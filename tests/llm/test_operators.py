@@ -11,6 +11,7 @@ import sys
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -110,6 +111,24 @@ def test_packing_loses_and_doubles_no_id(docs, real, empty):
     assert {len(s.ids) for s in whole} == {4 * packing.LENGTH}
 
 
+def test_ids_of_frequent_words_are_found_once(monkeypatch):
+    """A worker remembers a bounded number of chunks; those that come again and again stay."""
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    ids, searched = packing.Ids(packing.TOKENIZER), []
+    model = ids.model
+    ids.model = SimpleNamespace(tokenize=lambda w: searched.append(w) or model.tokenize(w))
+    draw = np.random.default_rng(11)
+    words = ["".join(draw.choice(list("abcdé123'.,!|_"), 7)) for _ in range(600)]
+    for runs in (ids.runs, False):
+        ids.runs = runs
+        for i in range(0, 600, 20):
+            text = " ".join(["Often", "often,", "it's", "x²", "don't!?", *words[i : i + 20]])
+            assert ids.of(text).tolist() == ids.whole.encode(text, add_special_tokens=False).ids
+        assert len(ids.known) <= 200 and len(ids.before) <= 200
+        if runs:
+            assert searched.count("often") == 1
+
+
 def test_hilbert_curve_steps_to_neighbours():
     side = 8
     grid = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
