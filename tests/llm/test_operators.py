@@ -346,6 +346,13 @@ def test_similar_lines_of_few_words_are_all_found(spark):
         assert {r.doc_id for r in done if not r.n_removed} == set(firsts.values())
 
 
+def test_two_lines_alone_on_their_codes_meet_once(spark):
+    """On the first of these codes; codes of more lines stay, whoever has them."""
+    rows = [(1, 50), (2, 50), (1, 40), (2, 40), (1, 60), (2, 60), (3, 60), (3, 70), (4, 70), (2, 80), (3, 80), (3, 5), (2, 5), (4, 90)]
+    found = lines._met_once(spark.createDataFrame(rows, "line long, code long")).collect()
+    assert sorted((r.code, r.n) for r in found) == [(5, 2), (40, 2), (60, 3), (70, 2)]
+
+
 def test_codes_of_unlike_lines_stay_in_proportion(spark, monkeypatch):
     """With five times the lines, what may meet short ones grows about as much, and few codes
     of lines that are like no short one come along."""
