@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -30,7 +31,7 @@ from candlewick.llm import (
     warc,
     weak_labels,
 )
-from candlewick.llm.shared import stored
+from candlewick.llm.shared import in_arrow, stored
 from candlewick.plans.scratch import new_folder
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -353,6 +354,59 @@ def test_two_lines_alone_on_their_codes_meet_once(spark):
     assert sorted((r.code, r.n) for r in found) == [(5, 2), (40, 2), (60, 3), (70, 2)]
 
 
+def test_codes_of_different_lines_go_on_wherever_batches_end():
+    draw = np.random.default_rng(6)
+    for _ in range(200):
+        code = np.sort(draw.integers(0, 12, 40))
+        line = np.where(code % 3 == 0, code, draw.integers(0, 3, 40))
+        cuts = np.sort(draw.integers(0, 41, 5))
+        parts = zip(np.r_[0, cuts], np.r_[cuts, 40], strict=True)
+        names = ["code", "line", "few"]
+        batches = [pa.RecordBatch.from_arrays([pa.array(code[a:b]), pa.array(line[a:b]), pa.array(line[a:b] > 0)], names=names) for a, b in parts]
+        found = {(r["code"], r["line"], r["few"]) for b in lines._met(iter(batches)) for r in b.to_pylist()}
+        wanted = {(c, k, k > 0) for c, k in zip(code.tolist(), line.tolist(), strict=True) if len(set(line[code == c].tolist())) > 1}
+        assert found == wanted
+    assert list(lines._met(iter([]))) == []
+
+
+def test_few_lines_of_a_tile_are_linked_as_many_are(real, monkeypatch):
+    """Pair by pair or in columns, with codes that no other line has and without."""
+    texts = sorted({p[3] for p in line_places(real.select("doc_id", "text").collect())})
+    texts = [t for t in texts if len(t.split()) >= lines.LEAST_WORDS]
+    holders = defaultdict(list)
+    for i, own in enumerate(line_codes(texts)):
+        for c in own:
+            holders[c].append((i, texts[i], sorted(own)))
+    tiles = [(c, rows) for c, rows in holders.items() if 1 < len(rows) <= lines.SMALL]
+    shared = {c for c, rows in holders.items() if len(rows) > 1}
+    linked = []
+    for code, rows in tiles:
+        halves = [i % 2 == 0 for i in range(len(rows))]
+        bare = [(i, t, [c for c in own if c in shared]) for i, t, own in rows]
+        few = [lines._joined(r, code, 0.8, h) for r in (rows, bare) for h in (None, halves)]
+        with monkeypatch.context() as patch:
+            patch.setattr(lines, "SMALL", 1)
+            assert few == [lines._joined(r, code, 0.8, h) for r in (rows, bare) for h in (None, halves)]
+        assert few[:2] == few[2:]
+        linked += few[0]
+    assert len(tiles) > 100 and len(linked) > 10
+
+
+def test_codes_of_lines_are_dealt_once_and_their_texts_go_without_them(docs, monkeypatch):
+    kept = {}
+
+    def seen(df, label):
+        kept[label] = df._jdf.queryExecution().toString()
+        return stored(df, label)
+
+    monkeypatch.setattr(lines, "stored", seen)
+    texts = []
+    monkeypatch.setattr(lines, "in_arrow", lambda df, f, schema: texts.append(schema) or in_arrow(df, f, schema))
+    lines.deduplicated(docs)
+    assert "Join" not in kept["line-pairs"] and "line-codes" not in kept
+    assert not [s for s in texts if "norm string" in s and "codes" in s and "doc_id" not in s]
+
+
 def test_codes_of_unlike_lines_stay_in_proportion(spark, monkeypatch):
     """With five times the lines, what may meet short ones grows about as much, and few codes
     of lines that are like no short one come along."""
