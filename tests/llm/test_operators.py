@@ -354,19 +354,23 @@ def test_two_lines_alone_on_their_codes_meet_once(spark):
     assert sorted((r.code, r.n) for r in found) == [(5, 2), (40, 2), (60, 3), (70, 2)]
 
 
-def test_codes_of_different_lines_go_on_wherever_batches_end():
+def test_codes_of_different_lines_go_on_wherever_batches_end(monkeypatch):
+    monkeypatch.setattr(lines, "_DEALT", 9)
     draw = np.random.default_rng(6)
-    for _ in range(200):
-        code = np.sort(draw.integers(0, 12, 40))
-        line = np.where(code % 3 == 0, code, draw.integers(0, 3, 40))
-        cuts = np.sort(draw.integers(0, 41, 5))
-        parts = zip(np.r_[0, cuts], np.r_[cuts, 40], strict=True)
-        names = ["code", "line", "few"]
-        batches = [pa.RecordBatch.from_arrays([pa.array(code[a:b]), pa.array(line[a:b]), pa.array(line[a:b] > 0)], names=names) for a, b in parts]
-        found = {(r["code"], r["line"], r["few"]) for b in lines._met(iter(batches)) for r in b.to_pylist()}
-        wanted = {(c, k, k > 0) for c, k in zip(code.tolist(), line.tolist(), strict=True) if len(set(line[code == c].tolist())) > 1}
-        assert found == wanted
-    assert list(lines._met(iter([]))) == []
+    for _ in range(100):
+        rows = [(int(k), bool(k > 3), draw.integers(0, 30, draw.integers(1, 5)).tolist()) for k in draw.integers(0, 12, 20)]
+        cuts = np.sort(draw.integers(0, 21, 4))
+        parts = [rows[a:b] for a, b in zip(np.r_[0, cuts], np.r_[cuts, 20], strict=True)]
+        schema = pa.schema([("line", pa.int64()), ("few", pa.bool_()), ("codes", pa.list_(pa.int64()))])
+        batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in part], schema) for part in parts]
+        dealt = pa.Table.from_batches([*lines._dealt(4)(iter(batches[:3])), *lines._dealt(4)(iter(batches[3:]))]).sort_by("bucket")
+        found = {(r["code"], r["line"], r["few"]) for b in lines._met(iter(dealt.to_batches(max_chunksize=3))) for r in b.to_pylist()}
+        holders = defaultdict(set)
+        for line, few, codes in rows:
+            for c in codes:
+                holders[c].add((c, line, few))
+        assert found == set().union(*[own for own in holders.values() if len(own) > 1])
+    assert list(lines._dealt(4)(iter([]))) == [] and list(lines._met(iter([]))) == []
 
 
 def test_few_lines_of_a_tile_are_linked_as_many_are(real, monkeypatch):
