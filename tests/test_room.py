@@ -58,3 +58,15 @@ def test_the_pipeline_keeps_one_stage_at_a_time(spark, tmp_path, monkeypatch):
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.id for r in found.collect()) == list(range(3, 13))
     assert [f.rsplit("-", 1)[0] for f in folders(spark) if f.startswith("pipeline-room")] == ["pipeline-room-2"]
+
+
+def test_a_bitmap_comes_to_the_driver_without_rows(spark):
+    ids = spark.range(300_000).select(F.xxhash64("id").alias("id")).persist()
+    sketch_of(spark.range(10))
+    tracemalloc.start()
+    table = sketch_of(ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Rows of all its words would take some 20 MB.
+    assert most < 6e6
+    assert passes(table.value, ids.toPandas()["id"].to_numpy()).all()
