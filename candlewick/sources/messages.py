@@ -13,6 +13,8 @@ MESSAGE_SCHEMA = T.StructType(BAR_SCHEMA.fields + [T.StructField("volume", T.Dou
 # Topic names.
 BAR_TOPIC = "stock_data"
 INDICATOR_TOPIC = "stock_indicators"
+# Messages of a packed file, which one task reads: some 10 MB.
+FILE_ROWS = 250_000
 
 
 def encode(rows: DataFrame) -> DataFrame:
@@ -82,10 +84,16 @@ def folder_stream(
 
 
 def write_folder(
-    messages: DataFrame, folder: str, mode: str = "append", compression: str = "none"
+    messages: DataFrame,
+    folder: str,
+    mode: str = "append",
+    compression: str = "none",
+    file_rows: int = 0,
 ) -> None:
-    """Text files, one a task. A packed file (`gzip`) is read by one task, so each should be small."""
-    messages.write.mode(mode).text(folder, compression=compression)
+    """Text files, one a task, or one for every so many rows. A packed file (`gzip`) is read by
+    one task, so each should be small."""
+    writer = messages.write.mode(mode).option("maxRecordsPerFile", file_rows)
+    writer.text(folder, compression=compression)
 
 
 def write_topic(messages: DataFrame, servers: str, topic: str = INDICATOR_TOPIC) -> None:

@@ -70,3 +70,35 @@ def test_a_bitmap_comes_to_the_driver_without_rows(spark):
     # Rows of all its words would take some 20 MB.
     assert most < 6e6
     assert passes(table.value, ids.toPandas()["id"].to_numpy()).all()
+
+
+def lineitem(spark, folder, n=3000):
+    rows = spark.range(0, n, 1, 4).select(
+        F.col("id").alias("l_orderkey"),
+        (F.col("id") % 5).cast("int").alias("l_linenumber"),
+        (F.col("id") % 31).alias("l_partkey"),
+        (F.col("id") % 20).alias("l_suppkey"),
+        F.col("id").cast("double").alias("l_quantity"),
+        (F.col("id") + 0.5).cast("double").alias("l_extendedprice"),
+        F.date_add(F.lit("1995-01-01"), (F.col("id") % 2400).cast("int")).alias("l_shipdate"),
+    )
+    rows.write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_messages_are_packed_and_go_when_they_were_taken(spark, tmp_path, monkeypatch):
+    sf, before, taken = lineitem(spark, tmp_path / "sf"), folders(spark), []
+    start = J.start_enriched_batches
+
+    def seen(records, *args, **options):
+        root = scratch.shared_root(spark).removeprefix("file://").removeprefix("file:")
+        now = [f for f in folders(spark) - before if f.startswith(("inbox-", "parts-"))]
+        taken.append([n for f in now for _, _, names in os.walk(f"{root}/{f}") for n in names if n.startswith("part-")])
+        return start(records, *args, **options)
+
+    monkeypatch.setattr(J, "start_enriched_batches", seen)
+    assert Q.stream_enriched(spark, sf).count() == Q.daily(spark, sf).count()
+    first, second = taken
+    assert {n.rsplit(".", 1)[-1] for n in first} == {"gz", "parquet"}
+    assert {n.rsplit(".", 1)[-1] for n in second} == {"gz"}
+    assert not [f for f in folders(spark) - before if f.startswith(("inbox-", "parts-"))]
