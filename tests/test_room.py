@@ -102,3 +102,11 @@ def test_messages_are_packed_and_go_when_they_were_taken(spark, tmp_path, monkey
     assert {n.rsplit(".", 1)[-1] for n in first} == {"gz", "parquet"}
     assert {n.rsplit(".", 1)[-1] for n in second} == {"gz"}
     assert not [f for f in folders(spark) - before if f.startswith(("inbox-", "parts-"))]
+
+
+def test_indicator_messages_are_packed(spark, tmp_path):
+    bars = spark.createDataFrame([("a",)], "value string")
+    J.folder_sink(str(tmp_path))(bars, 0)
+    names = [n for n in os.listdir(tmp_path / "batch=0") if n.startswith("part-")]
+    assert names and all(n.endswith(".gz") for n in names)
+    assert [r.value for r in J.read_folder_sink(spark, str(tmp_path)).collect()] == ["a"]
